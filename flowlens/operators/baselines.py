@@ -84,7 +84,7 @@ def _median(df: DataFrame, column: str, name: str) -> DataFrame:
     """Exact median; the counts are tallied first, so the buffer holds one entry
     per distinct count."""
     tally = df.groupBy(column).agg(F.count("*").alias("_times"))
-    return tally.agg(F.percentile(column, 0.5, "_times").alias("value")).select(F.lit(name).alias("name"), "value")
+    return tally.agg(F.percentile(F.col(column), 0.5, F.col("_times")).alias("value")).select(F.lit(name).alias("name"), "value")
 
 
 def _tall(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
