@@ -78,7 +78,7 @@ FAILED = "case when conn_state in ('REJ','S0','RSTO','RSTR','RSTOS0','RSTRH','SH
 # Beacon groups of the fixture are sparse, so these queries look back an hour.
 WB = 3_600_000_000
 QUERIES["WIN_8_beacon"] = lambda s, d: groups.beacon(view(s, d, "conn"), window_us=WB).select(
-    "uid", "beacon_group_count", *r6("beacon_interval_mean", "beacon_interval_std", "beacon_group_cv", "beacon_duration_std", "beacon_orig_bytes_std"))
+    "uid", "beacon_group_count", F.round(F.col("beacon_interval_mean") + 1e-8, 6).alias("beacon_interval_mean"), *r6("beacon_interval_std", "beacon_group_cv", "beacon_duration_std", "beacon_orig_bytes_std"))
 SQL["WIN_8_beacon"] = ctes("conn") + f"""
 , g as (select a.uid, b.ts_us as bt, b.duration as bd, b.orig_bytes as bo,
     b.ts_us - lag(b.ts_us) over (partition by a.uid order by b.ts_us) as gap
@@ -86,7 +86,7 @@ SQL["WIN_8_beacon"] = ctes("conn") + f"""
     and b.ts_us between a.ts_us - {WB} and a.ts_us - 1),
 s as (select uid, count(bt) as n, coalesce(avg(gap) / 1e6, 0) as m, coalesce(stddev_samp(gap) / 1e6, 0) as sd,
   coalesce(stddev_samp(bd), 0) as dd, coalesce(stddev_samp(bo), 0) as od from g group by uid)
-select uid, n as beacon_group_count, round(m, 6) as beacon_interval_mean, round(sd, 6) as beacon_interval_std,
+select uid, n as beacon_group_count, round(m + 1e-8, 6) as beacon_interval_mean, round(sd, 6) as beacon_interval_std,
  round(case when m > 0 then sd / m else 0 end, 6) as beacon_group_cv, round(dd, 6) as beacon_duration_std, round(od, 6) as beacon_orig_bytes_std from s"""
 
 QUERIES["WIN_9_horizontal"] = lambda s, d: groups.horizontal(view(s, d, "conn"), window_us=W).select(

@@ -71,20 +71,23 @@ def slot_of(t: str, slot_us: int) -> Column:
 def running_totals(
     df: DataFrame, keys: Sequence[str], t: str, cols: Sequence[str], *, wanted: str, slot_us: int = SLOT_US
 ) -> DataFrame:
-    """Running totals of ``cols`` per key in the order of ``t`` (unique per key).
+    """Running totals of ``cols`` per key in the order of ``t``; rows at the same
+    ``t`` are peers and see each other. Keeps the rows where ``wanted`` is true.
 
-    Keeps only the rows where ``wanted`` is true.
+    One shuffle by (key, slot) serves both levels: the windows inside the slots
+    and the slot totals.
     """
-    slotted = df.withColumn("_slot", slot_of(t, slot_us))
-    inner = Window.partitionBy(*keys, "_slot").orderBy(t).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    slotted = df.withColumn("_slot", slot_of(t, slot_us)).repartition(*keys, "_slot")
+    inner = Window.partitionBy(*keys, "_slot").orderBy(t).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     rows = slotted.select(*keys, "_slot", t, wanted, *[F.sum(c).over(inner).alias(c) for c in cols]).filter(wanted)
-    totals = slotted.groupBy(*keys, "_slot").agg(F.max(wanted).alias(wanted), *[F.sum(c).alias(f"_before_{c}") for c in cols])
+    totals = slotted.groupBy(*keys, "_slot").agg(
+        F.max(F.when(F.col(wanted), F.col(t))).alias("_asked"), *[F.sum(c).alias(f"_before_{c}") for c in cols])
     earlier = Window.partitionBy(*keys).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *keys, "_slot", wanted, *[F.sum(f"_before_{c}").over(earlier).alias(f"_before_{c}") for c in cols]
-    ).filter(wanted).drop(wanted)
-    return rows.join(offsets, [*keys, "_slot"]).select(
-        *keys, t, *[(F.coalesce(F.col(c), F.lit(0)) + F.coalesce(F.col(f"_before_{c}"), F.lit(0))).alias(c) for c in cols]
+        *keys, "_slot", "_asked", *[F.sum(f"_before_{c}").over(earlier).alias(f"_before_{c}") for c in cols]
+    ).filter(F.col("_asked").isNotNull()).drop("_asked")
+    return rows.join(offsets, [*keys, "_slot"]).selectExpr(
+        *keys, t, *[f"coalesce({c}, 0) + coalesce(_before_{c}, 0) as {c}" for c in cols]
     )
 
 
@@ -100,35 +103,65 @@ def previous_time(points: DataFrame, keys: Sequence[str], t: str, *, slot_us: in
     return both.withColumn("prev", F.lag(t).over(inside)).filter(~F.col("_head")).drop("_head", "_slot")
 
 
-def _delta_rows(df: DataFrame, groups: Sequence[Group], measures: Mapping[str, Column], window_us: int) -> DataFrame:
-    """Every row once per group and delta, in one pass over the input."""
-    types = {m: _SQUARE if m.endswith("_sq") else "bigint" for m in measures}
+def _sql_type(measure: str) -> str:
+    return _SQUARE if measure.endswith("_sq") else "bigint"
+
+
+def _row_deltas(df: DataFrame, groups: Sequence[Group], measures: Mapping[str, Column], window_us: int) -> DataFrame | None:
+    """Rows of the groups that forget after ``W``: totals per (group, time) first,
+    so that the two or three deltas are written after the hot times collapsed."""
+    groups = [g for g in groups if g.last_instant is None]
+    if not groups:
+        return None
+    used = [m for m in measures if any(m in g.measures for g in groups)]
+    rows = df.select(
+        "ts_us", *[measures[m].cast(_sql_type(m)).alias(m) for m in used], *[g.gkey().alias(g.name) for g in groups]
+    ).unpivot(["ts_us", *used], [g.name for g in groups], "g", "gkey")
+
+    def masked(m: str) -> str:
+        having = [f"'{g.name}'" for g in groups if m in g.measures]
+        return m if len(having) == len(groups) else f"case when g in ({', '.join(having)}) then {m} end as {m}"
+
+    past = [f"'{g.name}'" for g in groups if not g.include_current] or ["''"]
+    points = rows.selectExpr("ts_us", "gkey", f"if(g in ({', '.join(past)}), 1, 0) as delay", *[masked(m) for m in used])
+    points = points.groupBy("gkey", "delay", "ts_us").agg(*[F.sum(m).alias(m) for m in used])
+    # Row enters after its delay and leaves after the window; a row outside its
+    # own frame needs a third entry that only asks.
+    deltas = points.selectExpr(
+        "gkey", *used, "struct(ts_us + delay as t, delay = 0 as wanted, 1 as step) as enter",
+        f"struct(ts_us + {window_us + 1} as t, false as wanted, -1 as step) as leave",
+        "if(delay = 1, struct(ts_us as t, true as wanted, 0 as step), null) as ask",
+    ).unpivot(["gkey", *used], ["enter", "leave", "ask"], "kind", "d").filter("d is not null")
+    return deltas.selectExpr("gkey", "d.t", "d.wanted", *[f"case d.step when 1 then {m} when -1 then cast(-{m} as {_sql_type(m)}) end as {m}" for m in used])
+
+
+def _span_deltas(df: DataFrame, groups: Sequence[Group], measures: Mapping[str, Column]) -> DataFrame | None:
+    """Rows of the groups with an end of their own."""
+    groups = [g for g in groups if g.last_instant is not None]
+    if not groups:
+        return None
+    used = [m for m in measures if any(m in g.measures for g in groups)]
+    ts = F.col("ts_us")
 
     def delta(group: Group, at: Column, sign: int, wanted: bool) -> Column:
         values = [
-            (
-                (F.coalesce(measures[m], F.lit(0)).cast(types[m]) * F.lit(sign)).cast(types[m])
-                if sign and m in group.measures
-                else F.lit(None).cast(types[m])
-            ).alias(m)
-            for m in measures
+            (measures[m] * F.lit(sign) if sign and m in group.measures else F.lit(None)).cast(_sql_type(m)).alias(m) for m in used
         ]
         return F.struct(group.gkey().alias("gkey"), at.alias("t"), F.lit(wanted).alias("wanted"), *values)
 
-    ts = F.col("ts_us")
-    deltas = []
+    deltas = {}
     for g in groups:
-        last = g.last_instant if g.last_instant is not None else ts + F.lit(window_us)
-        deltas.append(delta(g, ts if g.include_current else ts + 1, 1, g.include_current))
-        deltas.append(delta(g, last + 1, -1, False))
+        deltas[f"{g.name}_enter"] = delta(g, ts if g.include_current else ts + 1, 1, g.include_current)
+        deltas[f"{g.name}_leave"] = delta(g, g.last_instant + 1, -1, False)
         if not g.include_current:
-            deltas.append(delta(g, ts, 0, True))
-    return df.select(F.explode(F.array(*deltas)).alias("d")).select("d.*")
+            deltas[f"{g.name}_ask"] = delta(g, ts, 0, True)
+    rows = df.select(*[d.alias(n) for n, d in deltas.items()]).unpivot([], list(deltas), "kind", "d").select("d.*")
+    return rows.groupBy("gkey", "t").agg(F.max("wanted").alias("wanted"), *[F.sum(m).alias(m) for m in used])
 
 
 def _distinct_deltas(df: DataFrame, groups: Sequence[Group], window_us: int) -> DataFrame | None:
-    sightings = [
-        F.struct(
+    sightings = {
+        f"{g.name}_{out}": F.struct(
             g.gkey().alias("gkey"),
             F.lit(out).alias("what"),
             (F.col(column) if isinstance(column, str) else column).cast("string").alias("seen"),
@@ -136,11 +169,12 @@ def _distinct_deltas(df: DataFrame, groups: Sequence[Group], window_us: int) ->
         )
         for g in groups
         for out, column in g.distinct.items()
-    ]
+    }
     if not sightings:
         return None
     spans = (
-        df.select("ts_us", F.explode(F.array(*sightings)).alias("s"))
+        df.select("ts_us", *[c.alias(n) for n, c in sightings.items()])
+        .unpivot(["ts_us"], list(sightings), "kind", "s")
         .select("ts_us", "s.*")
         .filter(F.col("seen").isNotNull())
         .groupBy("gkey", "what", "delay", "seen", slot_of("ts_us", window_us).alias("slot"))
@@ -151,13 +185,13 @@ def _distinct_deltas(df: DataFrame, groups: Sequence[Group], window_us: int) ->
         "gkey", "what", "delay", "first", "last",
         F.lag("last").over(w).alias("before"), F.lead("first").over(w).alias("after"),
     )
-    opens = F.when(F.col("before").isNull() | (F.col("first") > F.col("before") + window_us), F.struct((F.col("first") + F.col("delay")).alias("t"), F.lit(1).alias("step")))
-    closes = F.when(F.col("after").isNull() | (F.col("after") > F.col("last") + window_us), F.struct((F.col("last") + window_us + 1).alias("t"), F.lit(-1).alias("step")))
     names = list(dict.fromkeys(out for g in groups for out in g.distinct))
-    return edges.select("gkey", "what", F.explode(F.array_compact(F.array(opens, closes))).alias("e")).select(
-        "gkey", F.col("e.t").alias("t"), F.lit(False).alias("wanted"),
-        *[F.when(F.col("what") == n, F.col("e.step").cast("bigint")).alias(n) for n in names],
-    )
+    turns = edges.selectExpr(
+        "gkey", "what",
+        f"case when before is null or first > before + {window_us} then struct(first + delay as t, 1 as step) end as opens",
+        f"case when after is null or after > last + {window_us} then struct(last + {window_us + 1} as t, -1 as step) end as closes",
+    ).unpivot(["gkey", "what"], ["opens", "closes"], "kind", "e").filter("e is not null")
+    return turns.selectExpr("gkey", "e.t", "false as wanted", *[f"case when what = '{n}' then cast(e.step as bigint) end as {n}" for n in names])
 
 
 def _gap_deltas(df: DataFrame, groups: Sequence[Group], window_us: int, slot_us: int) -> DataFrame | None:
@@ -165,31 +199,29 @@ def _gap_deltas(df: DataFrame, groups: Sequence[Group], window_us: int, slot_us:
     with_gaps = [g for g in groups if g.gaps]
     if not with_gaps:
         return None
-    points = df.select("ts_us", F.explode(F.array(*[g.gkey() for g in with_gaps])).alias("gkey")).distinct()
-    gap = F.col("ts_us") - F.col("prev")
-    stepped = previous_time(points, ["gkey"], "ts_us", slot_us=slot_us).filter(gap < window_us)
-
-    def delta(at: Column, sign: int) -> Column:
-        return F.struct(
-            at.alias("t"), (gap * sign).alias("gap"), (square(gap) * F.lit(sign)).cast(_SQUARE).alias("gap_sq")
-        )
-
-    both = F.array(delta(F.col("ts_us") + 1, 1), delta(F.col("prev") + window_us + 1, -1))
-    return stepped.select("gkey", F.explode(both).alias("d")).select("gkey", "d.t", F.lit(False).alias("wanted"), "d.gap", "d.gap_sq")
+    points = df.select("ts_us", *[g.gkey().alias(g.name) for g in with_gaps]).unpivot(["ts_us"], [g.name for g in with_gaps], "g", "gkey")
+    stepped = previous_time(points.select("ts_us", "gkey").distinct(), ["gkey"], "ts_us", slot_us=slot_us)
+    inside = stepped.selectExpr("gkey", "ts_us", "prev", "ts_us - prev as gap").filter(F.col("gap") < window_us)
+    inside = inside.withColumn("gap_sq", square(F.col("gap")))
+    turns = inside.selectExpr(
+        "gkey", "gap", "gap_sq", "struct(ts_us + 1 as t, 1 as step) as enter", f"struct(prev + {window_us + 1} as t, -1 as step) as leave",
+    ).unpivot(["gkey", "gap", "gap_sq"], ["enter", "leave"], "kind", "d")
+    return turns.selectExpr("gkey", "d.t", "false as wanted", "gap * d.step as gap", f"cast(gap_sq * d.step as {_SQUARE}) as gap_sq")
 
 
 def frame_totals(
     df: DataFrame, groups: Sequence[Group], measures: Mapping[str, Column], window_us: int, slot_us: int = SLOT_US
 ) -> DataFrame:
     """One row per (gkey, t) that some input row asks for, with all totals."""
-    parts = [_delta_rows(df, groups, measures, window_us)]
-    parts += [p for p in (_distinct_deltas(df, groups, window_us), _gap_deltas(df, groups, window_us, slot_us)) if p is not None]
-    deltas = parts[0]
-    for p in parts[1:]:
+    parts = [
+        _row_deltas(df, groups, measures, window_us), _span_deltas(df, groups, measures),
+        _distinct_deltas(df, groups, window_us), _gap_deltas(df, groups, window_us, slot_us),
+    ]
+    deltas, *rest = [p for p in parts if p is not None]
+    for p in rest:
         deltas = deltas.unionByName(p, allowMissingColumns=True)
     cols = [c for c in deltas.columns if c not in ("gkey", "t", "wanted")]
-    at_instant = deltas.groupBy("gkey", "t").agg(F.max("wanted").alias("wanted"), *[F.sum(c).alias(c) for c in cols])
-    return running_totals(at_instant, ["gkey"], "t", cols, wanted="wanted", slot_us=slot_us)
+    return running_totals(deltas, ["gkey"], "t", cols, wanted="wanted", slot_us=slot_us)
 
 
 def slide(
@@ -215,11 +247,11 @@ def slide(
         joined = df.withColumn("_key", g.gkey()).join(named, (F.col("_key") == F.col("_gkey")) & (F.col("ts_us") == F.col("_t")), "left")
         return joined.drop("_key", "_gkey", "_t")
     keys = list(dict.fromkeys(k for g in groups for k in g.keys))
-    cases = F.array(*[F.struct(F.lit(g.name).alias("grp"), g.gkey().alias("gkey")) for g in groups])
-    asked = df.select("ts_us", *keys).distinct().withColumn("case", F.explode(cases)).select("ts_us", *keys, "case.*")
+    asked = df.select("ts_us", *keys).distinct().select("ts_us", *keys, *[g.gkey().alias(f"_{g.name}") for g in groups])
+    asked = asked.unpivot(["ts_us", *keys], [f"_{g.name}" for g in groups], "grp", "gkey")
     found = asked.join(totals.withColumnRenamed("t", "ts_us"), ["gkey", "ts_us"])
     wide = found.groupBy("ts_us", *keys).agg(
-        *[F.max(F.when(F.col("grp") == g.name, F.col(o))).alias(f"{g.name}__{o}") for g in groups for o in g.outputs()]
+        *[F.expr(f"max(case when grp = '_{g.name}' then {o} end) as {g.name}__{o}") for g in groups for o in g.outputs()]
     )
     left, right = df.alias("l"), wide.alias("r")
     on = F.lit(True)
