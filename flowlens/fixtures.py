@@ -112,4 +112,4 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ctes(*views: str) -> str:
     """``with`` clause that defines the views for DuckDB."""
-    return "with " + ", ".join(f"{v} as ({sql(v, 'duckdb')})" for v in views) + " "
+    return "with recursive " + ", ".join(f"{v} as ({sql(v, 'duckdb')})" for v in views) + " "

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_SPANS = 32
+LONG_AGO = -(1 << 62)
 
 
 def window_starts(times: np.ndarray, span: int, free_from: int) -> np.ndarray:
@@ -54,7 +55,7 @@ def block_outcomes(times: np.ndarray, span: int, block_start: int) -> list[tuple
     # The window before this block started before it, so it ends within one span.
     entries = int(np.searchsorted(times, block_start + span, side="left")) + 1
     out: list[tuple[int, int, int]] = []
-    above = np.iinfo(np.int64).min
+    above = LONG_AGO
     for i in range(min(entries, len(times))):
         outcome = int(times[last[i]])
         if out and out[-1][2] == outcome:
@@ -82,7 +83,7 @@ def anchor_windows(df: DataFrame, keys: Sequence[str], *, span_us: int, ts: str
         return table[[*keys, "_block", "_above", "_up_to", "_last"]]
 
     def walk(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        free_from, rows = np.iinfo(np.int64).min, []
+        free_from, rows = LONG_AGO, []
         for block, part in pdf.sort_values(["_block", "_up_to"]).groupby("_block", sort=True):
             rows.append((*group, block, free_from))
             hit = int(np.searchsorted(part["_up_to"].to_numpy(), free_from, side="left"))

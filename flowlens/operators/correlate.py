@@ -212,7 +212,7 @@ def strongest(entries: Column, n: int, digits: int) -> Column:
     """``name=value`` of the n entries of a map that are farthest from 0."""
     items = F.filter(F.map_entries(entries), lambda e: e["value"] != 0)
     ordered = F.array_sort(F.transform(items, lambda e: F.struct((-F.abs(e["value"])).alias("k"), e["key"].alias("name"), e["value"].alias("v"))))
-    return F.array_join(F.transform(F.slice(ordered, 1, n), lambda e: F.concat(e["name"], F.lit("="), F.format_number(e["v"], f"0.{'0' * digits}"))), "; ")
+    return F.array_join(F.transform(F.slice(ordered, 1, n), lambda e: F.concat(e["name"], F.lit("="), F.format_string(f"%.{digits}f", e["v"]))), "; ")
 
 
 def compact(evidence: DataFrame, *, ports: int = 10, z: str = "z", shap: str = "contributions") -> DataFrame:
