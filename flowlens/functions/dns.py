@@ -19,6 +19,7 @@ TRIGRAMS = {
 BIGRAM_SHARE, TRIGRAM_SHARE, TOP_WEIGHT = 0.3, 0.7, 100
 UNUSUAL_TLDS = [".tk", ".ml", ".ga", ".cf", ".gq", ".onion", ".bit"]
 BASE64_RUN, HEX_RUN, REPEAT_RUN = "[a-zA-Z0-9+/]{20,}", "[0-9a-f]{16,}", r"([a-z0-9])\1{3,}"
+VOWELS, LETTERS, NAME_SIGNS = "aeiou", "abcdefghijklmnopqrstuvwxyz", "0123456789.-_"
 LONG_LABEL, LONG_QUERY, DEFAULT_TTL, RATIO_CAP = 20, 50, 300.0, 10.0
 DNS_FEATURES = [
     "query_length", "query_entropy", "subdomain_count", "numeric_ratio", "ngram_score", "has_base64_pattern",
@@ -38,37 +39,52 @@ def _guarded(query: Column, value: Column) -> Column:
 
 
 def entropy(query: Column) -> Column:
-    """Shannon entropy in bits over the characters, case kept."""
+    """Shannon entropy in bits over the characters, case kept.
+
+    Sorted characters form runs; with run lengths c over n characters the entropy
+    is log2(n) - sum(c * log2(c)) / n.
+    """
     n = F.length(query).cast("double")
+    ordered = F.array_join(F.sort_array(F.split(query, "")), "")
+    runs = F.regexp_extract_all(ordered, F.lit(r"(?s)(.)\1+"), F.lit(0))
 
-    def add(total: Column, char: Column) -> Column:
-        p = (F.length(query) - F.length(_without(query, char))) / n
-        return total - p * F.log2(p)
+    def add(total: Column, run: Column) -> Column:
+        c = F.length(run).cast("double")
+        return total + c * F.log2(c)
 
-    return _guarded(query, F.aggregate(F.array_distinct(F.split(query, "")), F.lit(0.0), add))
+    return _guarded(query, F.log2(n) - F.aggregate(runs, F.lit(0.0), add) / n)
 
 
 def numeric_ratio(query: Column) -> Column:
-    return _guarded(query, F.regexp_count(query, F.lit("[0-9]")) / F.length(query))
+    digits = F.length(query) - F.length(F.translate(query, "0123456789", ""))
+    return _guarded(query, digits / F.length(query))
+
+
+def _by_first_letter(grams: list[str]) -> str:
+    """One pattern for all grams, branching on the first letter only once."""
+    tails: dict[str, list[str]] = {}
+    for g in grams:
+        tails.setdefault(g[0], []).append(g[1:])
+    return "|".join(f"{head}(?:{'|'.join(rest)})" for head, rest in tails.items())
 
 
 def _gram_total(text: Column, weights: dict[str, int]) -> Column:
-    """Weighted count of the grams, overlapping matches included: each position
-    is looked up in a literal map."""
+    """Weighted count of the grams, overlapping matches included: one look-ahead
+    pass finds the weighted grams, the few hits are then looked up."""
     size = len(next(iter(weights)))
+    hits = F.regexp_extract_all(text, F.lit(f"(?=({_by_first_letter(list(weights))}))"), F.lit(1))
     table = F.create_map(*[F.lit(x) for gram, weight in weights.items() for x in (gram, weight)])
-    starts = F.when(F.length(text) >= size, F.sequence(F.lit(1), F.length(text) - (size - 1)))
-    total = F.aggregate(starts, F.lit(0), lambda acc, i: acc + F.coalesce(F.try_element_at(table, F.substr(text, i, F.lit(size))), F.lit(0)))
-    places = F.length(text) - (size - 1)
-    return F.when(places > 0, total / (places * TOP_WEIGHT)).otherwise(0.0)
+    total = F.aggregate(hits, F.lit(0), lambda acc, gram: acc + table[gram])
+    return total / (F.greatest(F.length(text) - (size - 1), F.lit(1)) * TOP_WEIGHT)
 
 
 def ngram_score(query: Column) -> Column:
     """Closeness to English letter pairs and triples, without the last label."""
     lowered = F.lower(query)
-    body = F.when(F.instr(lowered, ".") > 0, F.regexp_replace(lowered, r"\.[^.]*$", "")).otherwise(lowered)
+    last = F.substring_index(lowered, ".", -1)
+    body = F.substr(lowered, F.lit(1), F.length(lowered) - F.when(F.instr(lowered, ".") > 0, F.length(last) + 1).otherwise(0))
     score = BIGRAM_SHARE * _gram_total(body, BIGRAMS) + TRIGRAM_SHARE * _gram_total(body, TRIGRAMS)
-    return F.when(F.length(body) >= 2, F.least(score, F.lit(1.0))).otherwise(0.0)
+    return F.coalesce(F.least(score, F.lit(1.0)), F.lit(0.0))
 
 
 def _flag(condition: Column) -> Column:
@@ -85,10 +101,13 @@ def char_diversity(query: Column) -> Column:
 
 
 def vowel_consonant_ratio(query: Column) -> Column:
+    """Letters outside a-z are rare, so only what is left of the name after the
+    usual characters were taken out goes through the letter pattern."""
     lowered = F.lower(query)
-    vowels = F.regexp_count(lowered, F.lit("[aeiou]"))
-    letters = F.regexp_count(lowered, F.lit(r"\p{L}"))
-    consonants = letters - vowels
+    vowels = F.length(lowered) - F.length(F.translate(lowered, VOWELS, ""))
+    plain = F.translate(lowered, LETTERS, "")
+    other = F.regexp_count(F.translate(plain, NAME_SIGNS, ""), F.lit(r"\p{L}"))
+    consonants = F.length(lowered) - F.length(plain) + other - vowels
     return F.when(consonants > 0, F.least(vowels / consonants, F.lit(RATIO_CAP))).otherwise(0.0)
 
 
