@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,57 +11,64 @@ from pyspark.sql import functions as F
 ACCURACY = 10_000
 
 
-def order_statistics(df: DataFrame, column: str, ranks: Sequence[int], *, total: int | None = None) -> dict[int, float]:
-    """Exact values at 0-based ranks.
+def order_statistics(df: DataFrame, columns: Sequence[str], places: Callable[[int], Sequence[int]]) -> dict[str, tuple[int, dict[int, float]]]:
+    """Per column: rows with a value and the exact values at 0-based ranks, where
+    ``places(n)`` names the ranks among n rows. Three jobs for all columns.
 
     A mergeable sketch brackets each rank between two values of the data; only
     the rows inside a bracket (a share of about 1/ACCURACY) are then counted
     exactly. The bracket is verified, and falls back to the whole range.
     """
-    n = df.filter(F.col(column).isNotNull()).count() if total is None else total
-    if n == 0:
-        return {}
+    counts = df.agg(*[F.count(c) for c in columns]).first()
+    ranks = {c: sorted(set(places(n))) if n else [] for c, n in zip(columns, counts)}
     slack = 3.0 / ACCURACY
-    probes = sorted({min(1.0, max(0.0, r / max(n - 1, 1) + d)) for r in ranks for d in (-slack, slack)})
-    low, high, *sketch = df.agg(F.min(column), F.max(column), F.percentile_approx(column, [float(p) for p in probes], ACCURACY)).first()
-    at = dict(zip(probes, sketch[0]))
 
-    def bracket(r: int, widened: bool = False):
-        if widened:
-            return low, high
-        p = r / max(n - 1, 1)
-        return at[min(1.0, max(0.0, p - slack))], at[min(1.0, max(0.0, p + slack))]
-
-    found: dict[int, float] = {}
+    def probes(c: str, n: int) -> list[float]:
+        return [min(1.0, max(0.0, r / max(n - 1, 1) + d)) for r in ranks[c] for d in (-slack, slack)]
+
+    asked = [c for c, n in zip(columns, counts) if n]
+    if not asked:
+        return {c: (0, {}) for c in columns}
+    size = dict(zip(columns, counts))
+    row = df.agg(*[x for c in asked for x in (F.min(c), F.max(c), F.percentile_approx(c, probes(c, size[c]), ACCURACY))]).first()
+    brackets, ends = {}, {}
+    for i, c in enumerate(asked):
+        low, high, sketch = row[3 * i: 3 * i + 3]
+        ends[c] = (low, high)
+        brackets.update({(c, r): (sketch[2 * k], sketch[2 * k + 1]) for k, r in enumerate(ranks[c])})
+
+    found: dict[tuple[str, int], float] = {}
     for widened in (False, True):
-        todo = [r for r in ranks if r not in found]
+        todo = [key for key in brackets if key not in found]
         if not todo:
             break
-        spans = {r: bracket(r, widened) for r in todo}
-        below = df.agg(*[F.count_if(F.col(column) < spans[r][0]).alias(f"b{r}") for r in todo]).first()
-        wanted = F.array(*[F.when(F.col(column).between(*spans[r]), F.lit(r)) for r in todo])
-        counts = df.select(F.col(column).alias("v"), F.explode(F.array_compact(wanted)).alias("r")).groupBy("r", "v").agg(F.count("*").alias("c"))
-        upto = F.sum("c").over(Window.partitionBy("r").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-        start = F.create_map(*[F.lit(x) for r in todo for x in (r, below[f"b{r}"])])
-        placed = counts.withColumn("_end", upto + start[F.col("r")])
-        hit = placed.filter((F.col("_end") > F.col("r")) & (F.col("_end") - F.col("c") <= F.col("r")))
-        found.update({row["r"]: row["v"] for row in hit.select("r", "v").collect()})
-    return found
+        spans = {key: ends[key[0]] if widened else brackets[key] for key in todo}
+        below = df.agg(*[F.count_if(F.col(c) < spans[c, r][0]) for c, r in todo]).first()
+        cases = F.array(*[F.when(F.col(c).between(*spans[c, r]), F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("v"))) for i, (c, r) in enumerate(todo)])
+        tally = df.select(F.explode(F.array_compact(cases)).alias("e")).groupBy("e.i", "e.v").agg(F.count("*").alias("c"))
+        upto = F.sum("c").over(Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+        start = F.array(*[F.lit(int(n)) for n in below])
+        goal = F.array(*[F.lit(r) for _, r in todo])
+        placed = tally.withColumns({"_end": upto + F.get(start, F.col("i")), "_goal": F.get(goal, F.col("i"))})
+        hit = placed.filter((F.col("_end") > F.col("_goal")) & (F.col("_end") - F.col("c") <= F.col("_goal")))
+        found.update({todo[h["i"]]: h["v"] for h in hit.select("i", "v").collect()})
+    return {c: (size[c], {r: found[c, r] for r in ranks[c]}) for c in columns}
+
+
+def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float]]:
+    """Quantiles of several columns, with linear interpolation between neighbours."""
+    def places(n: int) -> list[int]:
+        return [r for p in probs for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))]
+
+    out = {}
+    for c, (n, value) in order_statistics(df, columns, places).items():
+        spots = [p * (n - 1) for p in probs]
+        out[c] = [value[math.floor(x)] + (value[math.ceil(x)] - value[math.floor(x)]) * (x - math.floor(x)) for x in spots] if n else [float("nan")] * len(probs)
+    return out
 
 
 def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> list[float]:
-    """Quantiles with linear interpolation between neighbours."""
-    n = df.filter(F.col(column).isNotNull()).count()
-    if n == 0:
-        return [float("nan")] * len(probs)
-    places = [p * (n - 1) for p in probs]
-    ranks = sorted({r for x in places for r in (math.floor(x), math.ceil(x))})
-    value = order_statistics(df, column, ranks, total=n)
-    out = []
-    for x in places:
-        a, b = value[math.floor(x)], value[math.ceil(x)]
-        out.append(float(a) + (float(b) - float(a)) * (x - math.floor(x)))
-    return out
+    return column_quantiles(df, [column], probs)[column]
 
 
 def bucket_of(column: Column, cuts: Sequence[float]) -> Column:
@@ -99,11 +106,11 @@ def time_split(df: DataFrame, share: float, *, ts: str = "ts_us", tie: str = "ui
 
     The cut time is found exactly; only rows at that very instant are ranked.
     """
-    n = df.count()
+    ((n, at),) = order_statistics(df, [ts], lambda n: [max(0, math.floor(share * n) - 1)]).values()
     k = math.floor(share * n)
     if k in (0, n):
         return df.withColumn("in_train", F.lit(k == n))
-    cut = order_statistics(df, ts, [k - 1], total=n)[k - 1]
+    cut = int(at[k - 1])
     below = df.filter(F.col(ts) < cut).count()
     rank = F.row_number().over(Window.partitionBy(ts).orderBy(tie))
     tied = df.filter(F.col(ts) == cut).withColumn("in_train", rank <= k - below)
