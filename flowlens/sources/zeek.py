@@ -27,7 +27,9 @@ def read_zeek_tsv(spark: SparkSession, path: str, kind: str, *, header: bool = F
     """Tab-separated log as text columns: ``#`` lines skipped, ``-`` is null, lines
     of another width dropped."""
     names = list(fields) if fields else header_fields(spark, path, kind) if header else FIELDS[kind]
-    reader = spark.read.schema(S.text_schema(names)).option("sep", "\t").option("comment", "#").option("nullValue", "-").option("quote", "").option("mode", "DROPMALFORMED")
+    reader = spark.read.schema(S.text_schema(names)).option("sep", "\t").option("comment", "#").option("nullValue", "-").option("quote", "")
+    # Without pruning a line is judged by all its fields, whatever is selected.
+    reader = reader.option("columnPruning", False).option("mode", "DROPMALFORMED")
     return _flat(reader.csv(path))
 
 
