@@ -77,7 +77,10 @@ def running_totals(
     One shuffle by (key, slot) serves both levels: the windows inside the slots
     and the slot totals.
     """
-    slotted = df.withColumn("_slot", slot_of(t, slot_us)).repartition(*keys, "_slot")
+    # The null checks stand before the shuffle, so that the join below infers no
+    # filter for one branch only, and both branches read the same exchange.
+    slotted = df.withColumn("_slot", slot_of(t, slot_us)).filter(" and ".join(f"{k} is not null" for k in [*keys, "_slot"]))
+    slotted = slotted.repartition(*keys, "_slot")
     inner = Window.partitionBy(*keys, "_slot").orderBy(t).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     rows = slotted.select(*keys, "_slot", t, wanted, *[F.sum(c).over(inner).alias(c) for c in cols]).filter(wanted)
     totals = slotted.groupBy(*keys, "_slot").agg(
@@ -238,7 +241,8 @@ def slide(
     distinct combination and joined back: one row in, one row out, whatever the
     duplicates.
     """
-    measures = {"n": F.lit(1), **(measures or {})}
+    # Not a literal: a constant would be folded into one branch of the plan only.
+    measures = {"n": F.when(F.col("ts_us").isNotNull(), 1).otherwise(0), **(measures or {})}
     used = {m for g in groups for m in g.measures}
     totals = frame_totals(df, groups, {m: c for m, c in measures.items() if m in used}, window_us, slot_us)
     if len(groups) == 1:
