@@ -90,11 +90,11 @@ def zsql(name):
 
 QUERIES["AGG_1_beacon_fit"] = lambda s, d: baselines.beacon_fit(view(s, d, "conn")).select(
     "orig_h", "resp_h", "resp_p", "proto", "beacon_group_count",
-    F.round(F.col("beacon_group_mean_interval") + 1e-8, 6).alias("beacon_group_mean_interval"), *r6("beacon_group_cv", "beacon_channel_timediff_std", "beacon_group_mean_duration",
+    F.round(F.col("beacon_group_mean_interval") + 1e-8, 6).alias("beacon_group_mean_interval"), F.round(F.col("beacon_group_mean_duration") + 1e-8, 6).alias("beacon_group_mean_duration"), *r6("beacon_group_cv", "beacon_channel_timediff_std",
         "beacon_channel_duration_std", "beacon_group_mean_orig_bytes", "beacon_channel_orig_bytes_std"))
 SQL["AGG_1_beacon_fit"] = ctes("conn") + BEACON_FIT + f"""
 select {BK}, n as beacon_group_count, round(m + 1e-8, 6) as beacon_group_mean_interval, round(case when m > 0 then sd / m else 0 end, 6) as beacon_group_cv,
- round(sd, 6) as beacon_channel_timediff_std, round(dm, 6) as beacon_group_mean_duration, round(dd, 6) as beacon_channel_duration_std,
+ round(sd, 6) as beacon_channel_timediff_std, round(dm + 1e-8, 6) as beacon_group_mean_duration, round(dd, 6) as beacon_channel_duration_std,
  round(om, 6) as beacon_group_mean_orig_bytes, round(od, 6) as beacon_channel_orig_bytes_std from bfit"""
 
 QUERIES["AGG_2_horizontal_fit"] = lambda s, d: baselines.horizontal_fit(view(s, d, "conn")).select(
