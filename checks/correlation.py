@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from flowlens.fixtures import WINDOW_US as W
 from flowlens.fixtures import ctes, view
 from flowlens.operators import anchored, correlate, quantiles, rules, tallies, topk
-from flowlens.operators.filters import dedup_lines
 from flowlens.sources import sinks
 from checks.windows import r6
 

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowlens.fixtures import WINDOW_US as W
 from flowlens.fixtures import ctes, table, view
 from flowlens.models import thresholds as T
 from flowlens.models import transforms as M
 from flowlens.operators import correlate, evaluation as E
-from flowlens.operators.topk import top_entries
 from flowlens.plans import reports as P
 from flowlens.sources import sinks
-from checks.correlation import BASE, FIND, SQL as CSQL, evidence, pairs, states, z_maps
+from checks.correlation import BASE, FIND, SQL as CSQL, evidence, pairs, z_maps
 from checks.windows import r6
 
 QUERIES, SQL = {}, {}

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from flowlens import schema as S
 from flowlens.fixtures import ctes, view
 from flowlens.functions import conn as C
 from flowlens.functions import dns as D
@@ -252,3 +251,12 @@ QUERIES["FLT_10_untimed_rows"] = lambda s, d: clean.drop_untimed(view(s, d, "con
 SQL["FLT_10_untimed_rows"] = ctes("conn") + "select uid, ts_us as ts from conn where orig_pkts % 4 > 0"
 QUERIES["DED_1_line_dedup"] = lambda s, d: filters.dedup_lines(view(s, d, "conn").select(F.concat_ws(" ", "orig_h", "resp_h", "resp_p", "proto").alias("value")))
 SQL["DED_1_line_dedup"] = ctes("conn") + "select distinct concat_ws(' ', orig_h, resp_h, resp_p, proto) as value from conn"
+
+
+def prj17(s, d):
+    rows = view(s, d, "conn").withColumns({"hist_len": F.length("history"), "is_failed_connection": C.failed_connection()})
+    return C.require(rows, ["hist_len", "is_failed_connection"]).select("uid", "hist_len", "is_failed_connection")
+
+
+QUERIES["PRJ_17_required_columns"] = prj17
+SQL["PRJ_17_required_columns"] = ctes("conn") + "select uid, length(history) as hist_len, case when conn_state in ('REJ','S0','RSTO','RSTR','RSTOS0','RSTRH','SH','SHR') then 1 else 0 end as is_failed_connection from conn"

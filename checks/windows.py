@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from flowlens.fixtures import WINDOW_US as W
 from flowlens.fixtures import ctes, view
-from flowlens.operators import baselines, groups, profiles
+from flowlens.operators import groups, profiles
 
 QUERIES, SQL = {}, {}
 
