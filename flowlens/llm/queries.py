@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["lines", "decontaminate", "quality", "chat"]
+MODULES = ["tokens", "lines", "packing", "decontaminate", "quality", "chat"]
 
 
 def collect(attribute: str) -> dict:
