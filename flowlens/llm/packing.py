@@ -18,6 +18,7 @@ cut into whole pieces. Extra columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -78,19 +79,21 @@ class Ids(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) if text else b""
 
 
-_READY: dict[int, Ids] = {}
+#: The tokenizer of this worker's last task, by the job's key.
+_READY: dict[str, Ids] = {}
 
 
 def cut(docs: DataFrame, definition: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    shared, end = docs.sparkSession.sparkContext.broadcast(definition), np.array([end_id], "<u4").tobytes()
+    shared, key = docs.sparkSession.sparkContext.broadcast(definition), uuid.uuid4().hex
+    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _READY.get(shared.id)
+        ids = _READY.get(key)
         if ids is None:
             _READY.clear()
-            ids = _READY[shared.id] = Ids(tokenizer_of(shared.value))
+            ids = _READY[key] = Ids(tokenizer_of(shared.value))
         for batch in batches:
             rows, owners = [], batch.column("doc_id")
             for at, text in enumerate(batch.column("text")):
@@ -135,6 +138,7 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = 50_000) -> DataFrame:
     """``pieces`` (doc_id, piece, length and more) with sequence_id and offset, gapless from 0."""
+    pieces = settle(pieces)  # row numbers below stay the same when a task runs again
     groups = max(1, -(-pieces.count() // group_rows))
     columns = pieces.columns
 
@@ -145,14 +149,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = 50_000)
         rows["offset"] = offsets
         return rows
 
-    dealt = pieces.withColumn("group_", F.pmod(F.xxhash64("doc_id", "piece", "length"), F.lit(groups)).cast("long"))
+    dealt = pieces.withColumn("group_", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
     return dealt.groupBy("group_").applyInPandas(place, schema).select(*columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, definition: str, capacity: int = CAPACITY, end_id: int = END_ID, group_rows: int = 50_000) -> DataFrame:
-    """Tokenised once; the pieces without their ids are written before they are packed."""
-    return pack(settle(cut(docs, definition, capacity, end_id)), capacity, group_rows)
+    return pack(cut(docs, definition, capacity, end_id), capacity, group_rows)
 
 
 def definition_at(path: str) -> str:

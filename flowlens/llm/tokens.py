@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from array import array
 from collections.abc import Iterable, Iterator
 
@@ -123,19 +124,20 @@ class Counts(dict):
         return value
 
 
-_BUILT: dict[int, Counts] = {}
+#: The automaton of this worker's last task, by the job's key.
+_BUILT: dict[str, Counts] = {}
 
 
 def count_tokens(docs: DataFrame, first: list[bytes], later: list[bytes] | None = None) -> DataFrame:
     """(doc_id, n_words, n_tokens) with the given pieces; the vocabulary is broadcast, its size does not depend on the data."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((first, later))
+    shared, key = spark.sparkContext.broadcast((first, later)), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _BUILT.get(shared.id)
+        counts = _BUILT.get(key)
         if counts is None:
             _BUILT.clear()
-            counts = _BUILT[shared.id] = Counts(LongestMatch(*shared.value))
+            counts = _BUILT[key] = Counts(LongestMatch(*shared.value))
         get = counts.__getitem__
         for batch in batches:
             totals = [sum(map(get, t.as_py().split())) if t.is_valid else 0 for t in batch.column("text")]
