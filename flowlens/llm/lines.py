@@ -29,12 +29,14 @@ def same(left: list[Column], right: list[Column]) -> Column:
 
 def line_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(k_id, k_text, line, h1, h2): every window, by its first line from 0."""
-    lines = docs.select(F.col("doc_id").alias("k_id"), F.xxhash64("text").alias("k_text"), F.split("text", "\n").alias("lines"))
-    at = lambda i: [F.get("lines", i + j) for j in range(width)]
-    shown = lambda i: F.concat_ws("\n", *at(i))
-    hashes = F.transform(F.sequence(F.lit(0), F.size("lines") - width), lambda i: F.when(
-        F.length(F.trim(F.translate(shown(i), "\n\t\r", ""))) > 0, F.struct(F.xxhash64(*at(i)).alias("h1"), F.xxhash64(F.lit(1), *at(i)).alias("h2"))))
-    rows = lines.filter(F.size("lines") >= width).select("k_id", "k_text", F.posexplode(hashes).alias("line", "h"))
+    lines = docs.select(F.col("doc_id").alias("k_id"), F.xxhash64("text").alias("k_text"), F.split("text", "\n").alias("lines")).filter(F.size("lines") >= width)
+    # each line is hashed once; a window's hashes are those of its lines' hashes
+    each = F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), x.rlike(r"[^ \t\r]").alias("some")))
+    hashed = lines.select("k_id", "k_text", each.alias("each"))
+    at = lambda i, part: [F.get("each", i + j)[part] for j in range(width)]
+    hashes = F.transform(F.sequence(F.lit(0), F.size("each") - width), lambda i: F.when(
+        reduce(lambda x, y: x | y, at(i, "some")), F.struct(F.xxhash64(*at(i, "a")).alias("h1"), F.xxhash64(*at(i, "b")).alias("h2"))))
+    rows = hashed.select("k_id", "k_text", F.posexplode(hashes).alias("line", "h"))
     return rows.filter("h is not null").select("k_id", "k_text", "line", "h.h1", "h.h2")
 
 
@@ -54,7 +56,8 @@ def dedup_lines(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``docs`` with text cut down, and n_lines, n_removed and n_spans (runs of removed lines)."""
     k_id, k_text, gone, all_lines = fresh(docs, "k_id", "k_text", "gone", "all_lines")
     found = repeated_lines(docs, width).toDF(k_id, k_text, gone)
-    joined = docs.join(found, same([F.col("doc_id"), F.xxhash64("text")], [F.col(k_id), F.col(k_text)]), "left")
+    # the few found lines are hashed, so that the texts need no sort
+    joined = docs.join(found.hint("shuffle_hash"), same([F.col("doc_id"), F.xxhash64("text")], [F.col(k_id), F.col(k_text)]), "left")
     others = [F.col(c) for c in docs.columns if c.lower() not in ("text", "n_lines", "n_removed", "n_spans")]
     lines, cut = F.split("text", "\n"), F.col(gone)
     kept = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), cut), lambda i: F.get(F.col(all_lines), i)), "\n")
