@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["tokens", "lines", "language", "packing", "decontaminate", "quality", "chat"]
+MODULES = ["tokens", "lines", "language", "packing", "decontaminate", "quality", "toxicity", "chat"]
 
 
 def collect(attribute: str) -> dict:
