@@ -33,6 +33,11 @@ def normalised(text: Column) -> Column:
     return split_words(ascii_lower(text), NOT_WORD)
 
 
+def word_hashes(words: Column) -> Column:
+    """Each word hashed once; a window's key is the hash of its words' hashes."""
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """(size, key, win, item_id): each item's windows; win is the words joined by spaces."""
     items = benchmark.select("item_id", normalised(F.col("text")).alias("words")).filter(F.size("words") > 0)
@@ -40,12 +45,13 @@ def item_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     starts = F.explode(F.sequence(F.lit(1), F.size("words") - size + 1)).alias("start")
     rows = items.select("item_id", "words", size.alias("size"), starts)
     part = F.slice("words", F.col("start"), F.col("size"))
-    return rows.select("size", F.xxhash64(part).alias("key"), F.array_join(part, " ").alias("win"), "item_id").distinct()
+    return rows.select("size", F.xxhash64(word_hashes(part)).alias("key"), F.array_join(part, " ").alias("win"), "item_id").distinct()
 
 
 def hits(docs: DataFrame, windows: DataFrame, sizes: list[int], small: bool) -> DataFrame:
     """(k_id, k_text, found): for each document with hits, its (start from 1, size, win) triples."""
     words = docs.select(F.col("doc_id").alias("k_id"), F.xxhash64("text").alias("k_text"), normalised(F.col("text")).alias("words"))
+    words = words.select("k_id", "k_text", word_hashes(F.col("words")).alias("words"))
 
     def hashes(size):
         last = F.size("words") - size + 1
