@@ -36,7 +36,9 @@ from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 30_000
 MAX_TERMS = 2_000
-REMEMBERED = 500_000
+REMEMBERED = 200_000
+#: Terms that a task counts before it hands the counts on.
+COUNTED = 100_000
 BEGINNINGS = (4, 5, 6)
 WORD = re.compile(r"[^\W\d_]+")
 #: Signs that stand for letters, and signs that only break words up.
@@ -97,13 +99,19 @@ def features_of(text: str | None, looked: Looked) -> list[float]:
 def learn_lexicon(docs: DataFrame, max_terms: int = MAX_TERMS, least: float = 1.5, surprise: float = 15.0) -> dict[str, float]:
     """Term -> log odds, from (text, toxic) rows: terms with log odds and G-test at or over the limits, at most ``max_terms`` by the test."""
 
+    def counted(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
+        names = [t for t in counts[0] | counts[1] if len(t) < 60]
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[0][t] for t in names], pa.int64()), pa.array([counts[1][t] for t in names], pa.int64())], names=["term", "c", "t"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = (Counter(), Counter())
         for batch in batches:
-            counts = (Counter(), Counter())
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                counts[toxic].update({t for w in set(WORD.findall((text or "").lower())) for t in terms(w)})
-            names = [t for t in counts[0] | counts[1] if len(t) < 60]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[0][t] for t in names], pa.int64()), pa.array([counts[1][t] for t in names], pa.int64())], names=["term", "c", "t"])
+            for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist(), strict=True):
+                counts[toxic].update({t for w in set(WORD.findall((text.as_py() or "").lower())) for t in terms(w)})
+                if len(counts[0]) + len(counts[1]) >= COUNTED:  # partial counts go on to Spark's sums
+                    yield counted(counts)
+                    counts = (Counter(), Counter())
+        yield counted(counts)
 
     docs = docs.select("text", "toxic")
     size = docs.agg(F.count(F.when(F.col("toxic") == 0, 1)).alias("c"), F.count(F.when(F.col("toxic") == 1, 1)).alias("t")).first()
