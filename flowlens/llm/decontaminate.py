@@ -18,7 +18,7 @@ no hits, or an empty result. Extra columns are kept. All steps are Spark SQL.
 
 from __future__ import annotations
 
-from flowlens.llm.common import NOT_WORD, ascii_lower, fresh, split_words, table
+from flowlens.llm.common import NOT_WORD, ascii_lower, fresh, settle, split_words, table
 from flowlens.llm.lines import same
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,30 +64,35 @@ def hits(docs: DataFrame, windows: DataFrame, sizes: list[int], small: bool) ->
     return matched.groupBy("k_id", "k_text").agg(F.collect_set(F.struct((F.col("at") + 1).alias("start"), "size", "win")).alias("found"))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows: int = 500_000, max_bytes: int = 64 << 20, columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of ``docs`` with n_words, n_hit, hit_words (places from 0), n_items, items, contaminated."""
-    columns = columns or docs.columns
+def verdicts(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, max_windows: int = 500_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """(k_id, k_text, words_, n_hit, hit_words, items, contaminated) of the documents with verified hits; hit_words are places from 0."""
     windows = item_windows(benchmark, width)
     size = windows.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("win") + 64), F.lit(0)).alias("bytes"), F.collect_set("size").alias("sizes")).first()
     small = size["rows"] <= max_windows and size["bytes"] <= max_bytes
-    k_id, k_text, found, words, wins = fresh(docs, "k_id", "k_text", "found", "words", "wins")
-    names = fresh(docs, "n_words", "n_hit", "hit_words", "n_items", "items", "contaminated")
-    given = hits(docs, windows, sorted(size["sizes"]) or [width], small).toDF(k_id, k_text, found)
-    joined = docs.join(given, same([F.col("doc_id"), F.xxhash64("text")], [F.col(k_id), F.col(k_text)]), "left")
-    seen = joined.select(*columns, F.xxhash64("text").alias(k_text), F.col(found), normalised(F.col("text")).alias(words))
-    true = F.filter(found, lambda h: F.array_join(F.slice(words, h["start"], h["size"]), " ") == h["win"])
-    seen = seen.select(*columns, k_text, F.size(words).cast("long").alias(names[0]), F.coalesce(F.when(F.col(found).isNotNull(), true), F.array().cast("array<struct<start:int,size:int,win:string>>")).alias(found))
-    places = F.sort_array(F.array_distinct(F.flatten(F.transform(found, lambda h: F.sequence(h["start"] - 1, h["start"] + h["size"] - 2)))))
-    seen = seen.select(*columns, k_text, names[0], places.alias(names[2]), F.array_distinct(F.transform(found, lambda h: h["win"])).alias(wins))
+    found = hits(docs, windows, sorted(size["sizes"]) or [width], small).toDF("f_id", "f_text", "found")
+    texts = docs.select(F.col("doc_id").alias("k_id"), F.xxhash64("text").alias("k_text"), "text")
+    both = texts.join(found.hint("shuffle_hash"), same([F.col("k_id"), F.col("k_text")], [F.col("f_id"), F.col("f_text")]))
+    seen = both.select("k_id", "k_text", "found", normalised(F.col("text")).alias("words"))
+    true = F.filter("found", lambda h: F.array_join(F.slice("words", h["start"], h["size"]), " ") == h["win"])
+    seen = seen.select("k_id", "k_text", F.size("words").cast("long").alias("words_"), true.alias("found")).filter(F.size("found") > 0)
+    places = F.sort_array(F.array_distinct(F.flatten(F.transform("found", lambda h: F.sequence(h["start"] - 1, h["start"] + h["size"] - 2)))))
+    seen = settle(seen.select("k_id", "k_text", "words_", places.alias("hit_words"), F.array_distinct(F.transform("found", lambda h: h["win"])).alias("wins")).dropDuplicates(["k_id", "k_text"]))
     # the items of each document, from its distinct windows
     ids = windows.filter("item_id is not null").select(F.col("win").alias("w"), "item_id").distinct()
-    pairs = seen.select(F.col("doc_id").alias("d"), F.col(k_text).alias("t"), F.explode(wins).alias("win")).distinct()
-    of = pairs.join(F.broadcast(ids) if small else ids, F.col("win") == F.col("w")).groupBy("d", "t").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("its"))
-    out = seen.join(of, same([F.col("doc_id"), F.col(k_text)], [F.col("d"), F.col("t")]), "left")
-    n_hit = F.size(names[2]).cast("long")
-    its = F.coalesce("its", F.array().cast("array<string>"))
-    return out.select(*columns, names[0], n_hit.alias(names[1]), names[2], F.size(its).cast("long").alias(names[3]), its.alias(names[4]),
-                      ((n_hit > 0) & (20 * n_hit >= F.col(names[0]))).alias(names[5]))
+    pairs = seen.select(F.col("k_id").alias("d"), F.col("k_text").alias("t"), F.explode("wins").alias("win"))
+    of = pairs.join(F.broadcast(ids) if small else ids, F.col("win") == F.col("w")).groupBy("d", "t").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    out = seen.join(of, same([F.col("k_id"), F.col("k_text")], [F.col("d"), F.col("t")]), "left")
+    n_hit = F.size("hit_words").cast("long")
+    return out.select("k_id", "k_text", "words_", n_hit.alias("n_hit"), "hit_words", F.coalesce("items", F.array().cast("array<string>")).alias("items"), (20 * n_hit >= F.col("words_")).alias("contaminated"))
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """(doc_id, n_words, n_hit, hit_words, items, contaminated) of every document."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.size(normalised(F.col("text"))).cast("long").alias("n_words"))
+    hit = verdicts(docs, benchmark, **options)
+    out = rows.join(hit, same([F.col("doc_id"), F.col("text_key")], [F.col("k_id"), F.col("k_text")]), "left")
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("hit_words", F.array().cast("array<int>")).alias("hit_words"),
+                      F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("contaminated", F.lit(False)).alias("contaminated"))
 
 
 def remove_words(text: Column, places: Column) -> Column:
@@ -100,18 +105,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
     """``docs`` without contaminated documents, or (mode "spans") without the hit words of these."""
     if mode not in ("documents", "spans"):
         raise ValueError("mode is documents or spans")
+    k_id, k_text, places = fresh(docs, "k_id", "k_text", "places")
+    bad = verdicts(docs, benchmark, **options).filter("contaminated").select("k_id", "k_text", "hit_words").toDF(k_id, k_text, places).hint("shuffle_hash")
+    on = same([F.col("doc_id"), F.xxhash64("text")], [F.col(k_id), F.col(k_text)])
     if mode == "documents":
-        judged = find_contamination(docs, benchmark, **options)
-        return judged.filter(~F.col(judged.columns[-1])).select(*docs.columns)
-    judged = find_contamination(docs, benchmark, **options)
-    places, bad = judged.columns[-4], judged.columns[-1]
-    return judged.withColumn("text", F.when(F.col(bad), remove_words(F.col("text"), F.col(places))).otherwise(F.col("text"))).select(*docs.columns)
+        return docs.join(bad, on, "left_anti")
+    cut = F.when(F.col(places).isNotNull(), remove_words(F.col("text"), F.col(places))).otherwise(F.col("text"))
+    return docs.join(bad, on, "left").withColumn("text", cut).select(*docs.columns)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    judged = find_contamination(docs, table(spark, sf_dir, "benchmark"), columns=["doc_id"])
-    return judged.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+    judged = find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return judged.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 QUERIES = {"op5_decontamination": op5_decontamination}
