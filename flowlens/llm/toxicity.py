@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from flowlens.llm.common import remainder, settle, table
+from flowlens.llm.common import remainder, table
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
@@ -160,14 +160,24 @@ class ToxicityModel:
         # at most sample_rows rows of three numbers
         rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("id_")).select("text", "toxic", F.pmod("order_", F.lit(10)).alias("part"))
         lexicon = learn_lexicon(rows.filter("part < 4"))
-        data = settle(featurize(rows.filter("part >= 4"), lexicon, ["toxic", "part"])).withColumns({"features": array_to_vector("x"), "label": F.col("toxic").cast("double")})
+        # a few numbers a row, kept while the trees are fitted; a lost part is computed again
+        kept = featurize(rows.filter("part >= 4"), lexicon, ["toxic", "part"]).persist()
+        try:
+            return cls(lexicon, *cls.learn(kept, known, rounds, depth))
+        finally:
+            kept.unpersist()
+
+    @staticmethod
+    def learn(kept: DataFrame, known: DataFrame, rounds: int, depth: int) -> tuple:
+        """(trees, steps, constant) from (toxic, part, x)."""
+        data = kept.withColumns({"features": array_to_vector("x"), "label": F.col("toxic").cast("double")})
         share = known.agg(F.avg("toxic")).first()[0]
         size = {(r["late"], r["toxic"]): r["count"] for r in data.groupBy((F.col("part") >= 8).alias("late"), "toxic").count().collect()}
         if not all(size.get((late, y)) for late in (False, True) for y in (0, 1)):
-            return cls(lexicon, None, None, float(share or 0.0))
+            return None, None, float(share or 0.0)
         trees = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=5).fit(data.filter("part < 8").select("features", "label"))
         late = trees.transform(data.filter("part >= 8").select("features", "label")).select("label", vector_to_array("probability")[1].alias("p"))
-        return cls(lexicon, trees, IsotonicRegression(featuresCol="p").fit(late), None)
+        return trees, IsotonicRegression(featuresCol="p").fit(late), None
 
     def score(self, docs: DataFrame, columns: list[str]) -> DataFrame:
         """``columns``, score and predicted for every row."""
