@@ -14,8 +14,8 @@ that many documents share spreads over all parts and makes no block.
 
 Products. Each block's first row is multiplied with the block's other rows, every
 such pair once in all blocks, and links make components. Blocks whose rows are all
-in one component are done. In the others the whole block is multiplied, tile by tile
-of at most ``TILE`` rows a side, overlap counts adding up over ranges of columns
+in one component are done. The others, joined where they share rows, are multiplied
+whole, tile by tile of about ``TILE`` rows a side, overlap counts adding up over ranges of columns
 while pairs that cannot reach their bound are discarded; a tile returns links that
 join different components, never all pairs. So no link between components is lost.
 
@@ -41,6 +41,8 @@ from pyspark.sql import functions as F
 
 TILE = 512
 COLUMNS = 4096
+#: Blocks that share rows are multiplied as one up to so many rows, and for themselves beyond.
+JOINED = 4 * TILE
 REMEMBERED = 300_000
 MASK = (1 << 64) - 1
 #: Odd 64-bit multipliers (golden ratio and two primes of common mixing functions).
@@ -221,15 +223,26 @@ def tile_links(left: list[np.ndarray], right: list[np.ndarray], percent: int) ->
     return np.argwhere(alive & links(overlap, a[:, None], b[None, :], percent))
 
 
-def whole_block_products(open_rows: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b) links between components, from blocks (part, cls, comp) of more than one component."""
-    shape = open_rows.groupBy("part").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("cls")).alias("x1"), F.sum(F.xxhash64(F.lit(1), "cls").cast("decimal(38,0)")).alias("x2"))
+def joined_blocks(open_rows: DataFrame, open_edges: DataFrame) -> DataFrame:
+    """(joined, part, cls, comp): blocks that share rows become one block, unless that has more than ``JOINED`` rows."""
+    family = components(open_edges.select(F.col("first").alias("a"), F.col("cls").alias("b"))).select(F.col("cls").alias("c"), F.col("comp").alias("family"))
+    rows = settle(open_rows.select("cls", "comp").distinct().join(family, F.col("cls") == F.col("c")).select("cls", "comp", "family"))
+    small = rows.groupBy(F.col("family").alias("f")).count().filter(F.col("count") <= JOINED).select("f")
+    whole = rows.join(small, F.col("family") == F.col("f"), "left_semi").select(F.lit(True).alias("joined"), F.col("family").alias("part"), "cls", "comp")
+    large = rows.join(small, F.col("family") == F.col("f"), "left_anti").select(F.col("cls").alias("c"))
+    return whole.unionByName(open_rows.join(large, F.col("cls") == F.col("c"), "left_semi").select(F.lit(False).alias("joined"), "part", "cls", "comp"))
+
+
+def whole_block_products(blocks: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(a, b) links between components, from blocks (joined, part, cls, comp)."""
+    blocks = settle(blocks)
+    shape = blocks.groupBy("joined", "part").agg(F.count("*").alias("rows"), F.bit_xor(F.xxhash64("cls")).alias("x1"), F.sum(F.xxhash64(F.lit(1), "cls").cast("decimal(38,0)")).alias("x2"))
     # blocks of the same rows are one block
-    kept = shape.groupBy("rows", "x1", "x2").agg(F.min("part").alias("p")).select("p", F.ceil(F.col("rows") / TILE).cast("int").alias("sides"))
-    dealt = open_rows.join(kept, F.col("part") == F.col("p")).withColumn("side", F.pmod(F.xxhash64("cls"), "sides").cast("int"))
-    tiles = dealt.select("part", "cls", "comp", "side", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("other"))
+    kept = shape.groupBy("joined", "rows", "x1", "x2").agg(F.min("part").alias("p")).select(F.col("joined").alias("j"), "p", F.ceil(F.col("rows") / TILE).cast("int").alias("sides"))
+    dealt = blocks.join(kept, (F.col("part") == F.col("p")) & (F.col("joined") == F.col("j"))).withColumn("side", F.pmod(F.xxhash64("cls"), "sides").cast("int"))
+    tiles = dealt.select("joined", "part", "cls", "comp", "side", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("other"))
     rows = tiles.join(texts.select(F.col("cls").alias("c"), "text"), F.col("cls") == F.col("c")).select(
-        "part", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "cls", "comp", "text")
+        "joined", "part", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "cls", "comp", "text")
 
     def multiply(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("cls").reset_index(drop=True)
@@ -253,7 +266,7 @@ def whole_block_products(open_rows: DataFrame, texts: DataFrame, n: int, percent
                     found.append((cls[left[i]], cls[right[j]]))
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    return rows.groupBy("part", "lo", "hi").applyInPandas(multiply, "a long, b long")
+    return rows.groupBy("joined", "part", "lo", "hi").applyInPandas(multiply, "a long, b long")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -274,7 +287,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest doc_id reachable by links."""
     docs = docs.select("doc_id", "text")
-    rows = sets(docs, n, percent)
+    rows = settle(sets(docs, n, percent))
     # any row of a class stands for it; its text is found again by id and hash of text
     classes = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "key")).alias("row"), F.first("parts").alias("parts"))
     classes = settle(classes.withColumn("cls", F.monotonically_increasing_id()))
@@ -291,9 +304,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     marked = marked.join(label, F.col("cls") == F.col("c"), "left").select("part", "first", "cls", "first_comp", F.coalesce("comp", "cls").alias("comp"))
     unsettled = settle(marked.filter("comp <> first_comp").select(F.col("part").alias("p")).distinct())
     if not unsettled.isEmpty():
-        still = marked.join(unsettled, F.col("part") == F.col("p"), "left_semi")
-        open_rows = settle(still.select("part", "cls", "comp").union(still.select("part", F.col("first").alias("cls"), F.col("first_comp").alias("comp")).distinct()))
-        more = settle(whole_block_products(open_rows, texts, n, percent).distinct())
+        still = settle(marked.join(unsettled, F.col("part") == F.col("p"), "left_semi"))
+        open_rows = still.select("part", "cls", "comp").union(still.select("part", F.col("first").alias("cls"), F.col("first_comp").alias("comp")).distinct())
+        more = settle(whole_block_products(joined_blocks(open_rows, still.select("first", "cls").distinct()), texts, n, percent).distinct())
         if not more.isEmpty():
             comps = components(linked.unionByName(more))
     label = comps.select(F.col("cls").alias("c"), "comp")
