@@ -21,12 +21,11 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from flowlens.llm.common import remainder, table
+from flowlens.llm.common import fresh, remainder, table
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -171,13 +170,14 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], columns: list[st
     """``columns`` of ``docs`` with lang_pred and score; only the text is looked at."""
     names, key = list(prototypes), f"{dim}-{gram}-{seed}"
     matrix = np.stack([prototypes[n] for n in names], axis=1).astype(np.float32) if names else None
-    kept = docs.select(*columns, F.col("text").alias("text_"))
+    (source,) = ["text"] if "text" in columns else fresh(docs, "text")
+    kept = docs.select(*columns, *([] if "text" in columns else [F.col("text").alias(source)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letters_of(key, dim, gram, seed)
         for batch in batches:
             langs, scores = [], []
-            for some in slices([t or "" for t in batch.column("text_").to_pylist()]):
+            for some in slices([t or "" for t in batch.column(source).to_pylist()]):
                 vectors = letters.bundle(some)
                 lengths = np.linalg.norm(vectors, axis=1)
                 if matrix is None:

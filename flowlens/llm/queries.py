@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["tokens", "lines", "language", "packing", "decontaminate", "jaccard", "quality", "toxicity", "chat"]
+MODULES = ["tokens", "lines", "language", "packing", "decontaminate", "suffixes", "jaccard", "quality", "toxicity", "chat"]
 
 
 def collect(attribute: str) -> dict:
