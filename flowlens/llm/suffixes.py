@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LENGTH = 50
-GRAM = 16
+GRAM = 20
 #: Words of eight bytes that quicksort compares before tries take over.
 SHALLOW_WORDS = 3
 #: Kinds of context above which an anchor's windows are dealt singly.
@@ -109,26 +109,30 @@ def contexts(data: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarr
     return anchors[anchor], mix(whole[first] * STEPS[1] + mix(whole[last] * STEPS[2] + inside)), first, last
 
 
-def shallow_sort(keys: np.ndarray, order: np.ndarray) -> list[np.ndarray]:
-    """Multikey quicksort: groups of equal suffixes, in order, by columns of eight-byte words."""
-    groups, work = [], [(order, 0)]
-    while work:
-        some, depth = work.pop()
-        if len(some) == 1 or depth == keys.shape[1]:
-            groups.append(some)
-            continue
-        word = keys[some, depth]
-        if len(some) <= 64:
-            by = np.argsort(word, kind="stable")
-            some, word = some[by], word[by]
-            cuts = np.flatnonzero(word[1:] != word[:-1]) + 1
-            work += [(part, depth + 1) for part in reversed(np.split(some, cuts))]
-            continue
-        pivot = np.partition(word[:: max(1, len(word) // 9)], min(4, (len(word) - 1) // max(1, len(word) // 9)))[min(4, (len(word) - 1) // max(1, len(word) // 9))]
-        less, equal = word < pivot, word == pivot
-        parts = [(some[less], depth), (some[equal], depth + 1), (some[~less & ~equal], depth)]
-        work += [p for p in reversed(parts) if len(p[0])]
-    return groups
+def shallow_sort(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Multikey quicksort, all groups of a depth at once: (rows in order, group number of each).
+
+    At each depth the rows of every group that is still tied are sorted by the next
+    eight-byte word, and groups split where the word changes.
+    """
+    order = np.argsort(keys[:, 0])
+    group = starts_to_groups(keys[order, 0][1:] != keys[order, 0][:-1])
+    for depth in range(1, keys.shape[1]):
+        tied = np.flatnonzero(np.bincount(group)[group] > 1)
+        if not len(tied):
+            break
+        rows, of = order[tied], group[tied]
+        word = keys[rows, depth]
+        by = np.lexsort((word, of))
+        order[tied] = rows[by]
+        split = np.zeros(len(order), bool)
+        split[tied[1:]] = (of[1:] == of[:-1]) & (word[by][1:] != word[by][:-1])
+        group = starts_to_groups((group[1:] != group[:-1]) | split[1:])
+    return order, group
+
+
+def starts_to_groups(changes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(changes)])
 
 
 class BlindTrie:
@@ -168,24 +172,35 @@ class BlindTrie:
                 yield node[0]
 
 
-def deep_shallow(suffixes: np.ndarray, words: int = SHALLOW_WORDS) -> list[np.ndarray]:
-    """Rows of ``suffixes`` (bytes, one suffix a row) in sorted order, as groups of equal ones."""
+def deep_shallow(suffixes: np.ndarray, words: int = SHALLOW_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of ``suffixes`` in sorted order, run number of each): rows of one run are equal.
+
+    ``suffixes`` has the bytes of one suffix a row.
+    """
     padded = np.zeros((len(suffixes), words * 8), np.uint8)
     padded[:, :min(words * 8, suffixes.shape[1])] = suffixes[:, :words * 8]
-    out = []
-    for group in shallow_sort(padded.view(">u8").astype(np.uint64), np.arange(len(suffixes))):
-        if len(group) == 1:
-            out.append(group)
-            continue
+    order, group = shallow_sort(padded.view(">u8").astype(np.uint64))
+    first = order[np.searchsorted(group, np.arange(group[-1] + 1))]
+    differs = np.zeros(len(order), bool)
+    tied = np.flatnonzero(np.bincount(group)[group] > 1)
+    differs[tied] = (suffixes[order[tied]] != suffixes[first[group[tied]]]).any(axis=1)
+    # groups that go on differing below the shallow depth are left to blind tries
+    split = np.zeros(len(order), bool)
+    for g in np.unique(group[differs]).tolist():
+        lo, hi = np.searchsorted(group, g), np.searchsorted(group, g + 1)
         same: dict[bytes, list[int]] = {}
-        for row, text in zip(group.tolist(), map(bytes, suffixes[group]), strict=True):
+        for row, text in zip(order[lo:hi].tolist(), map(bytes, suffixes[order[lo:hi]]), strict=True):
             same.setdefault(text, []).append(row)
         texts = iter(same)
         trie = BlindTrie(next(texts))
         for text in texts:
             trie.add(text)
-        out += [np.array(same[text]) for text in trie.strings()]
-    return out
+        at = lo
+        for text in trie.strings():
+            split[at] = True
+            order[at:at + len(same[text])] = same[text]
+            at += len(same[text])
+    return order, starts_to_groups((group[1:] != group[:-1]) | split[1:])
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -279,27 +294,25 @@ def windows_to_sort(bodies: DataFrame, asked: DataFrame, length: int) -> DataFra
     """(deal, doc_id, context, first, body): asked contexts with their bytes; first is the number of body's first window in the context."""
     kind = bodies.schema["doc_id"].dataType.simpleString()
     hot = asked.groupBy("anchor").count().filter(F.col("count") > HOT).select(F.col("anchor").alias("h"))
-    marked = asked.join(hot, F.col("anchor") == F.col("h"), "left").select("doc_id", F.struct("context", F.col("h").isNotNull().alias("hot")).alias("ask"))
-    wanted = marked.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list("ask").alias("asks"))
-    both = bodies.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("d")).select("doc_id", "body", "asks")
+    marked = asked.join(hot, F.col("anchor") == F.col("h"), "left")
+    wanted = marked.groupBy(F.col("doc_id").alias("d")).agg(*[F.collect_list(F.when(F.col("h").isNull() == cold, F.col("context"))).alias(name) for cold, name in ((True, "whole"), (False, "single"))])
+    both = bodies.join(wanted.hint("shuffle_hash"), F.col("doc_id") == F.col("d")).select("doc_id", "body", "whole", "single")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out = []
-            for doc, body, asks in zip(batch.column("doc_id").to_pylist(), batch.column("body"), batch.column("asks"), strict=True):
-                text, hot_of = unpack(body.as_py()), {x["context"]: x["hot"] for x in asks.as_py()}
-                data, owner = joined([text])
-                anchor, context, first, last = contexts(data, owner, length)
-                for g, c, lo, hi in zip(anchor.astype(np.int64).tolist(), context.astype(np.int64).tolist(), first.tolist(), last.tolist(), strict=True):
-                    if c not in hot_of:
-                        continue
-                    if hot_of.pop(c):
-                        for w in range(lo, hi + 1):
-                            head = int.from_bytes(hashlib.blake2b(text[w:w + 32], digest_size=8).digest(), "little", signed=True)
-                            out.append((g ^ head, doc, c, w - lo, text[w:w + length]))
-                    else:
-                        out.append((g, doc, c, 0, text[lo:hi + length]))
+            for doc, body, whole, single in zip(batch.column("doc_id").to_pylist(), *(batch.column(c) for c in ("body", "whole", "single")), strict=True):
+                text = unpack(body.as_py())
+                anchor, context, first, last = contexts(*joined([text]), length)
+                context = context.astype(np.int64)
+                kinds, place = np.unique(context, return_index=True)
+                for i in place[np.isin(kinds, whole.values.to_numpy())].tolist():
+                    out.append((int(anchor[i].astype(np.int64)), doc, int(context[i]), 0, text[first[i]:last[i] + length]))
+                for i in place[np.isin(kinds, single.values.to_numpy())].tolist():
+                    for w in range(first[i], last[i] + 1):
+                        head = int.from_bytes(hashlib.blake2b(text[w:w + 32], digest_size=8).digest(), "little", signed=True)
+                        out.append((int(anchor[i].astype(np.int64)) ^ head, doc, int(context[i]), int(w - first[i]), text[w:w + length]))
             cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], batch.schema.field("doc_id").type), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())],
                                              names=["deal", "doc_id", "context", "first", "body"])
@@ -312,26 +325,20 @@ def sorted_losses(rows: DataFrame, length: int) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
     ready = rows.repartition("deal").sortWithinPartitions("deal")
 
-    def judge(deals, docs, ctx, first, bodies):
-        owner = np.repeat(np.arange(len(bodies)), [len(b) - length + 1 for b in bodies])
-        data = np.frombuffer(b"".join(bodies), np.uint8)
-        ends = np.cumsum([len(b) for b in bodies])
-        at = np.concatenate([np.arange(e - len(b), e - length + 1) for b, e in zip(bodies, ends, strict=True)])
-        suffixes = data[at[:, None] + np.arange(length)]
-        number = at - np.array([e - len(b) for b, e in zip(bodies, ends, strict=True)])[owner] + np.array(first)[owner]
-        deal, doc, masks = np.array(deals)[owner], np.array(docs)[owner], {}
-        for group in deep_shallow(suffixes):
-            if len(group) < 2:
-                continue
-            # equal windows have one anchor, so what is dealt apart does not meet here either
-            low: dict = {}
-            for r in group.tolist():
-                low[deal[r]] = min(doc[r], low.get(deal[r], doc[r]))
-            for r in group.tolist():
-                if doc[r] > low[deal[r]]:
-                    key = (docs[owner[r]], ctx[owner[r]])
-                    masks[key] = masks.get(key, 0) | 1 << int(number[r])
-        return masks
+    def judge(_, docs, ctx, first, bodies):
+        """Equal windows have one anchor, so they are of one deal."""
+        size = np.array(list(map(len, bodies)))
+        data, count, begin = np.frombuffer(b"".join(bodies), np.uint8), size - length + 1, np.cumsum(size) - size
+        owner = np.repeat(np.arange(len(bodies)), count)
+        number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        at = begin[owner] + number
+        order, run_of = deep_shallow(data[at[:, None] + np.arange(length)])
+        doc = np.array(docs)[owner[order]]
+        low = np.minimum.reduceat(doc, np.searchsorted(run_of, np.arange(run_of[-1] + 1)))
+        gone = order[doc > low[run_of]]
+        masks = np.zeros(len(bodies), np.int64)
+        np.bitwise_or.at(masks, owner[gone], np.int64(1) << (number[gone] + np.array(first)[owner[gone]]))
+        return {(docs[i], ctx[i], first[i]): int(masks[i]) for i in np.flatnonzero(masks).tolist()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field, held = None, []
@@ -367,21 +374,22 @@ def split_at(rows: list, cut: int, limit: int = 4000) -> Iterator[tuple[int, int
         start = end
 
 
-def covered(text: bytes, lost: dict[int, int], length: int) -> np.ndarray:
-    """Which bytes go, from the lost windows of contexts."""
-    data, owner = joined([text])
-    _, context, first, last = contexts(data, owner, length)
-    edge = np.zeros(len(text) + 1, np.int64)
-    for c, lo, hi in zip(context.astype(np.int64).tolist(), first.tolist(), last.tolist(), strict=True):
-        mask = lost.get(c, 0)
-        if mask == -1:
-            edge[lo] += 1
-            edge[hi + length] -= 1
-        elif mask:
-            for w in range(lo, hi + 1):
-                if mask >> (w - lo) & 1:
-                    edge[w] += 1
-                    edge[w + length] -= 1
+def covered(text: bytes, lost: np.ndarray, masks: np.ndarray, length: int) -> np.ndarray:
+    """Which bytes go, from the masks of the lost windows of contexts (-1: all windows)."""
+    _, context, first, last = contexts(*joined([text]), length)
+    by = np.argsort(lost, kind="stable")
+    lost, start = np.unique(lost[by], return_index=True)
+    masks = np.bitwise_or.reduceat(masks[by], start)
+    at = np.minimum(np.searchsorted(lost, context.astype(np.int64)), len(lost) - 1)
+    mask = np.where(lost[at] == context.astype(np.int64), masks[at], 0)
+    edge, whole = np.zeros(len(text) + 1, np.int64), mask == -1
+    np.add.at(edge, first[whole], 1)
+    np.add.at(edge, last[whole] + length, -1)
+    for i in np.flatnonzero(~whole & (mask != 0)).tolist():
+        for w in range(first[i], last[i] + 1):
+            if mask[i] >> (w - first[i]) & 1:
+                edge[w] += 1
+                edge[w + length] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -397,20 +405,16 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = T
     masks = sorted_losses(windows_to_sort(bodies, asked, length), length)
     lost = found.filter("lost").select("doc_id", "context", F.lit(-1).cast("long").alias("mask")).unionByName(masks)
     per_doc = lost.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("context", "mask")).alias("lost"))
-    both = bodies.join(per_doc.hint("shuffle_hash"), F.col("doc_id") == F.col("d"), "left").select("doc_id", "body", "lost")
+    both = bodies.join(per_doc.hint("shuffle_hash"), F.col("doc_id") == F.col("d"), "left").select("doc_id", "body", F.col("lost.context").alias("context"), F.col("lost.mask").alias("mask"))
     extra = ", kept binary" if keep_bytes else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             sizes, removed, spans, digests, texts = [], [], [], [], []
-            for body, gone in zip(batch.column("body"), batch.column("lost"), strict=True):
-                text, masks_of = unpack(body.as_py()), {}
-                if gone.is_valid:
-                    for x in gone.as_py():
-                        old = masks_of.get(x["context"], 0)
-                        masks_of[x["context"]] = -1 if -1 in (old, x["mask"]) else old | x["mask"]
-                drop = covered(text, masks_of, length) if masks_of else np.zeros(len(text), bool)
+            for body, context, mask in zip(*(batch.column(c) for c in ("body", "context", "mask")), strict=True):
+                text = unpack(body.as_py())
+                drop = covered(text, context.values.to_numpy(), mask.values.to_numpy(), length) if context.is_valid else np.zeros(len(text), bool)
                 kept = np.frombuffer(text, np.uint8)[~drop].tobytes()
                 sizes.append(len(text))
                 removed.append(int(drop.sum()))
