@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import zstandard
 from flowlens.session import checkpoint_dir
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +57,20 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
             name += "_"
         out.append(name)
     return out
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, body): texts compressed, for the shuffles to come; key is the hash of the text."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            bodies = [code((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(bodies, pa.binary())], names=["doc_id", "key", "body"])
+
+    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key long, body binary")
+
+
+def unpack(body: bytes) -> bytes:
+    return zstandard.decompress(body)

@@ -35,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from flowlens.llm.common import settle, table
+from flowlens.llm.common import packed, settle, table
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,18 +61,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 BYTES = mix(np.arange(256, dtype=np.uint64) + np.uint64(77))
 
 
-def rolling(data: np.ndarray, width: int) -> np.ndarray:
-    """Hash of the ``width`` bytes at every place, doubling the width covered."""
-    block, size, have, done, step = BYTES[data], 1, None, 0, 0
+def rolling(data: np.ndarray, *widths: int) -> list[np.ndarray]:
+    """For each width, the hash of so many bytes at every place; blocks of doubled size are shared."""
+    block, size, step, have = BYTES[data], 1, 0, {w: (None, 0) for w in widths}
     while True:
-        if width & size:
-            if have is None:
-                have, done = block, size
-            else:
+        for w, (value, done) in have.items():
+            if w & size:
                 n = len(data) - done - size + 1
-                have, done = have[:n] * STEPS[7] + block[done:done + n], done + size
-        if size * 2 > width:
-            return mix(have)
+                have[w] = (block if value is None else value[:n] * STEPS[7] + block[done:done + n], done + size)
+        if size * 2 > max(widths):
+            return [mix(have[w][0]) for w in widths]
         block, step = block[:-size] * STEPS[step] + block[size:], step + 1
         size *= 2
 
@@ -97,7 +95,7 @@ def contexts(data: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarr
     none = np.empty(0, np.uint64)
     if len(data) < length:
         return none, none, none.astype(np.int64), none.astype(np.int64)
-    anchors, whole = rolling(data, GRAM), rolling(data, length)
+    anchors, whole = rolling(data, GRAM, length)
     at = first_smallest(anchors, length - GRAM + 1)
     windows = np.flatnonzero(owner[:len(data) - length + 1] == owner[length - 1:])
     if not len(windows):
@@ -203,19 +201,6 @@ def deep_shallow(suffixes: np.ndarray, words: int = SHALLOW_WORDS) -> tuple[np.n
     return order, starts_to_groups((group[1:] != group[:-1]) | split[1:])
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, body): texts compressed, for the shuffles to come; key is the hash of the text."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            bodies = [code((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(bodies, pa.binary())], names=["doc_id", "key", "body"])
-
-    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, f"doc_id {kind}, key long, body binary")
-
-
 def slices(texts: list[bytes], limit: int = SLICE) -> Iterator[tuple[int, list[bytes]]]:
     start, size = 0, 0
     for i, text in enumerate(texts):
@@ -332,7 +317,7 @@ def sorted_losses(rows: DataFrame, length: int) -> DataFrame:
         owner = np.repeat(np.arange(len(bodies)), count)
         number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
         at = begin[owner] + number
-        order, run_of = deep_shallow(data[at[:, None] + np.arange(length)])
+        order, run_of = deep_shallow(np.lib.stride_tricks.sliding_window_view(data, length)[at])
         doc = np.array(docs)[owner[order]]
         low = np.minimum.reduceat(doc, np.searchsorted(run_of, np.arange(run_of[-1] + 1)))
         gone = order[doc > low[run_of]]
