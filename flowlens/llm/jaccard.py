@@ -35,7 +35,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from flowlens.llm.common import fresh, settle, table
+from flowlens.llm.common import fresh, packed, settle, table, unpack
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,9 +69,9 @@ class WordHashes(dict):
 _HASHES = WordHashes()
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
+def shingles(text: str | bytes | None, n: int) -> np.ndarray:
     """Sorted distinct n-gram hashes. Bytes are lower-cased and split as ASCII: A-Z, and tab to carriage return with space."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    words = (text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")).lower().split()
     h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     if not len(h):
         return h
@@ -148,34 +148,38 @@ def sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(run, f"doc_id {kind}, key long, n_shingles long, digest binary, parts array<long>")
 
 
-def block_rows(classes: DataFrame) -> DataFrame:
-    """(part, first, cls): the rows of every block of two or more, but for its first row.
+def block_rows(classes: DataFrame, percent: int) -> DataFrame:
+    """(part, first, cls, near): the rows of every block of two or more, but for its first row.
+
+    near: by their sizes, the row and the first row may link.
 
     Rows come sorted by part, so a task passes over them once, whatever a block's size.
     """
-    rows = classes.select(F.explode("parts").alias("part"), "cls").repartition("part").sortWithinPartitions("part", "cls")
+    rows = classes.select(F.explode("parts").alias("part"), "cls", "n").repartition("part").sortWithinPartitions("part", "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, first = None, None
+        last, first, width = None, None, 0
         for batch in batches:
-            part, cls = batch.column("part").to_numpy(), batch.column("cls").to_numpy()
+            part, cls, n = (batch.column(c).to_numpy() for c in ("part", "cls", "n"))
             if not len(part):
                 continue
             new = np.concatenate([[True], part[1:] != part[:-1]])
-            starts = cls[new]
+            starts, sizes = cls[new], n[new]
             if part[0] == last:
-                starts = starts.copy()
-                starts[0] = first
-            head = starts[np.cumsum(new) - 1]
-            last, first = part[-1], head[-1]
+                starts, sizes = starts.copy(), sizes.copy()
+                starts[0], sizes[0] = first, width
+            run_of = np.cumsum(new) - 1
+            head, size = starts[run_of], sizes[run_of]
+            last, first, width = part[-1], head[-1], size[-1]
             other = head != cls
-            yield pa.RecordBatch.from_arrays([pa.array(part[other]), pa.array(head[other]), pa.array(cls[other])], names=["part", "first", "cls"])
+            near = 100 * np.minimum(n, size) >= percent * np.maximum(n, size)
+            yield pa.RecordBatch.from_arrays([pa.array(part[other]), pa.array(head[other]), pa.array(cls[other]), pa.array(near[other])], names=["part", "first", "cls", "near"])
 
-    return rows.mapInArrow(run, "part long, first long, cls long")
+    return rows.mapInArrow(run, "part long, first long, cls long, near boolean")
 
 
 def first_row_products(edges: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """(a, b) of the (first, cls) pairs that link."""
+    """(a, b) of the (first, cls) pairs that link; texts are packed."""
     one = texts.select(F.col("cls").alias("c1"), F.col("text").alias("t1"))
     two = texts.select(F.col("cls").alias("c2"), F.col("text").alias("t2"))
     rows = edges.join(one, F.col("cls") == F.col("c1")).select("first", "cls", "t1").join(two, F.col("first") == F.col("c2")).select("first", "cls", "t1", "t2")
@@ -186,8 +190,8 @@ def first_row_products(edges: DataFrame, texts: DataFrame, n: int, percent: int)
             a, b = [], []
             for first, cls, text, other in zip(batch.column("first").to_pylist(), batch.column("cls").to_pylist(), batch.column("t1"), batch.column("t2"), strict=True):
                 if first != held:
-                    held, row = first, shingles(other.as_py(), n)
-                s = shingles(text.as_py(), n)
+                    held, row = first, shingles(unpack(other.as_py()), n)
+                s = shingles(unpack(text.as_py()), n)
                 if 100 * min(len(s), len(row)) < percent * max(len(s), len(row)):
                     continue
                 at = np.searchsorted(row, s)
@@ -250,7 +254,7 @@ def whole_block_products(blocks: DataFrame, texts: DataFrame, n: int, percent: i
         left, right = (np.flatnonzero(frame["side"] == x) for x in (lo, hi))
         found = []
         if len(left) and len(right):
-            all_sets = [shingles(t, n) for t in frame["text"]]
+            all_sets = [shingles(unpack(t), n) for t in frame["text"]]
             comp, cls = frame["comp"].to_numpy(), frame["cls"].to_numpy()
             parent: dict[int, int] = {}
 
@@ -289,14 +293,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     docs = docs.select("doc_id", "text")
     rows = settle(sets(docs, n, percent))
     # any row of a class stands for it; its text is found again by id and hash of text
-    classes = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "key")).alias("row"), F.first("parts").alias("parts"))
+    classes = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "key")).alias("row"), F.first("parts").alias("parts"), F.first("n_shingles").alias("n"))
     classes = settle(classes.withColumn("cls", F.monotonically_increasing_id()))
-    blocks = settle(block_rows(classes))
-    edges = settle(blocks.select("first", "cls").distinct())
-    members = edges.select("cls").union(edges.select("first")).distinct()
+    blocks = settle(block_rows(classes, percent))
+    edges = settle(blocks.filter("near").select("first", "cls").distinct())
+    members = blocks.select("cls").union(blocks.select("first")).distinct()
     wanted = classes.select("row.*", F.col("cls").alias("k")).join(members, F.col("k") == F.col("cls"), "left_semi").toDF("i", "x", "k").hint("shuffle_hash")
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("x")))
-    texts = settle(texts.select(F.col("k").alias("cls"), "text").dropDuplicates(["cls"]))
+    texts = packed(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("x")))
+    texts = settle(texts.select(F.col("k").alias("cls"), F.col("body").alias("text")).dropDuplicates(["cls"]))
     linked = settle(first_row_products(edges, texts, n, percent))
     comps = components(linked)
     label = comps.select(F.col("cls").alias("c"), "comp")
