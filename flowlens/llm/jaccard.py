@@ -6,11 +6,12 @@ hashes). Documents of equal rows are one class. A pair of classes links when
 
 Blocks. Linked sets of sizes near s differ in at most ``d`` n-grams, a bound that
 follows from the size and the threshold. The columns are cut by hash into more than
-``d`` parts, so linked rows agree entirely on some part: a block is all rows that
-agree on a part. Sizes are cut into ranges, each with its own number of parts; a row
-near a range's lower end also takes the parts of the range below. Rows with so many
-empty parts that only empty ones might agree take their empty parts too. A passage
-that many documents share spreads over all parts and makes no block.
+d / 2 groups of three parts, so linked rows differ at most once in some group and
+agree entirely on two of its parts: a block is all rows that agree on two parts of a
+group. Sizes are cut into ranges, each with its own number of groups; a row near a
+range's lower end also takes the groups of the range below. Spare groups make up for
+pairs of empty parts; rows with more empty pairs than that take these too. A passage
+that many documents share spreads over all groups and makes no block.
 
 Products. Each block's first row is multiplied with the block's other rows, every
 such pair once in all blocks, and links make components. Blocks whose rows are all
@@ -45,6 +46,8 @@ COLUMNS = 4096
 JOINED = 4 * TILE
 REMEMBERED = 300_000
 MASK = (1 << 64) - 1
+#: The pairs of a group's three parts.
+PAIRS = np.array([0, 0, 1]), np.array([1, 2, 2])
 #: Odd 64-bit multipliers (golden ratio and two primes of common mixing functions).
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -104,22 +107,23 @@ class Parts:
         while k >= 0 and self.percent * len(s) <= 100 * (self.low[k + 1] - 1):
             differ = self.differ(k)
             if differ:
-                spare = 2 + differ // 32
-                m = differ + 1 + spare
+                few = differ // 2 + 1
+                spare = 1 + few // 8
+                m = 3 * (few + spare)
                 # 24 bits choose the part by their share of the range
                 part = ((spread >> np.uint64(40)) * np.uint64(m)) >> np.uint64(24)
                 order = np.argsort(part, kind="stable")
-                own, start = np.unique(part[order], return_index=True)
-                total = np.zeros(m, np.uint64)
+                own, start = np.unique(part[order].astype(np.int64), return_index=True)
+                total, full = np.zeros(m, np.uint64), np.zeros(m, bool)
                 total[own] = np.add.reduceat(mix(s[order] + MIX[1]), start)
-                full = np.zeros(m, bool)
                 full[own] = True
-                if m - len(own) <= spare:
-                    number = own
-                else:
-                    number = np.arange(m, dtype=np.uint64)
-                key = total[number.astype(np.int64)] * MIX[0] + full[number.astype(np.int64)]
-                out.append(mix(key + mix(number * MIX[1] + np.uint64((k + 1) * int(MIX[2]) & MASK))))
+                total, full = mix(total * MIX[0] + full).reshape(-1, 3), full.reshape(-1, 3)
+                pairs = mix(total[:, PAIRS[0]] * MIX[1] + mix(total[:, PAIRS[1]] * MIX[2]))
+                filled = full[:, PAIRS[0]] | full[:, PAIRS[1]]
+                if (~filled).any(axis=1).sum() > spare:
+                    filled[:] = True
+                number = np.arange(m, dtype=np.uint64).reshape(-1, 3)
+                out.append(mix(pairs + mix(number * MIX[1] + np.uint64((k + 1) * int(MIX[2]) & MASK)))[filled])
             k -= 1
         return np.concatenate(out) if out else s[:0]
 
@@ -128,34 +132,45 @@ def links(overlap: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np
     return 100 * overlap >= percent * (a + b - overlap)
 
 
-def sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, key, n_shingles, digest, parts) of every row; key is the hash of the text."""
+def sets(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, key, n_shingles, digest) of every row; key is the hash of the text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = Parts(percent)
         for batch in batches:
-            size, digest, parts = [], [], []
+            size, digest = [], []
             for text in batch.column("text"):
                 s = shingles(text.as_py(), n)
                 size.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                parts.append(cut.signatures(s).astype(np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-            joined = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), joined], names=["doc_id", "key", "n_shingles", "digest", "parts"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(size, pa.int64()), pa.array(digest, pa.binary())], names=["doc_id", "key", "n_shingles", "digest"])
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(run, f"doc_id {kind}, key long, n_shingles long, digest binary")
+
+
+def part_rows(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(part, cls, n): a row for every block that a class may be in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = Parts(percent)
+        for batch in batches:
+            found = [(cls, len(s := shingles(unpack(text.as_py()), n)), cut.signatures(s)) for cls, text in zip(batch.column("cls").to_pylist(), batch.column("text"), strict=True)]
+            times = [len(parts) for _, _, parts in found]
+            parts = np.concatenate([parts for _, _, parts in found]) if found else np.empty(0, np.uint64)
+            cls, size = (np.repeat(np.array(x, np.int64), times) for x in ([c for c, _, _ in found], [size for _, size, _ in found]))
+            yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int64)), pa.array(cls), pa.array(size)], names=["part", "cls", "n"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(run, f"doc_id {kind}, key long, n_shingles long, digest binary, parts array<long>")
+    return texts.mapInArrow(run, "part long, cls long, n long")
 
 
-def block_rows(classes: DataFrame, percent: int) -> DataFrame:
+def block_rows(parts: DataFrame, percent: int) -> DataFrame:
     """(part, first, cls, near): the rows of every block of two or more, but for its first row.
 
     near: by their sizes, the row and the first row may link.
 
     Rows come sorted by part, so a task passes over them once, whatever a block's size.
     """
-    rows = classes.select(F.explode("parts").alias("part"), "cls", "n").repartition("part").sortWithinPartitions("part", "cls")
+    rows = parts.repartition("part").sortWithinPartitions("part", "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, first, width = None, None, 0
@@ -291,16 +306,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest doc_id reachable by links."""
     docs = docs.select("doc_id", "text")
-    rows = settle(sets(docs, n, percent))
+    rows = settle(sets(docs, n))
     # any row of a class stands for it; its text is found again by id and hash of text
-    classes = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "key")).alias("row"), F.first("parts").alias("parts"), F.first("n_shingles").alias("n"))
+    classes = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "key")).alias("row"), F.max("n_shingles").alias("n"))
     classes = settle(classes.withColumn("cls", F.monotonically_increasing_id()))
-    blocks = settle(block_rows(classes, percent))
+    name = lambda c: F.coalesce(c.cast("string"), F.lit("\0"))
+    wanted = classes.filter("n > 0").select(name(F.col("row.doc_id")).alias("i"), F.col("row.key").alias("x"), "cls").hint("shuffle_hash")
+    texts = packed(docs).select(name(F.col("doc_id")).alias("id"), "key", "body").join(wanted, (F.col("id") == F.col("i")) & (F.col("key") == F.col("x")))
+    texts = settle(texts.dropDuplicates(["id", "key"]).select("cls", F.col("body").alias("text")))
+    blocks = settle(block_rows(part_rows(texts, n, percent), percent))
     edges = settle(blocks.filter("near").select("first", "cls").distinct())
-    members = blocks.select("cls").union(blocks.select("first")).distinct()
-    wanted = classes.select("row.*", F.col("cls").alias("k")).join(members, F.col("k") == F.col("cls"), "left_semi").toDF("i", "x", "k").hint("shuffle_hash")
-    texts = packed(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("x")))
-    texts = settle(texts.select(F.col("k").alias("cls"), F.col("body").alias("text")).dropDuplicates(["cls"]))
     linked = settle(first_row_products(edges, texts, n, percent))
     comps = components(linked)
     label = comps.select(F.col("cls").alias("c"), "comp")
