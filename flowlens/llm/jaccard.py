@@ -42,6 +42,8 @@ from pyspark.sql import functions as F
 
 TILE = 512
 COLUMNS = 4096
+#: Row pairs of a column above which it is multiplied densely, and entry pairs held at once.
+CROWDED, PAIRED = 2048, 2_000_000
 #: Blocks that share rows are multiplied as one up to so many rows, and for themselves beyond.
 JOINED = 4 * TILE
 REMEMBERED = 300_000
@@ -219,26 +221,57 @@ def first_row_products(edges: DataFrame, texts: DataFrame, n: int, percent: int)
     return rows.mapInArrow(run, "a long, b long")
 
 
-def tile_links(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
-    """Linked (i, j) of two row blocks: overlap counts added up over ranges of columns."""
+def tile_links(left: list[np.ndarray], right: list[np.ndarray], percent: int, apart: np.ndarray | None = None) -> np.ndarray:
+    """Linked (i, j) of two row blocks, among the pairs that ``apart`` marks.
+
+    Only columns of both blocks count. Columns that many rows share are multiplied as
+    dense ranges, between which pairs that cannot reach their bound are discarded;
+    the entries of the others are paired one by one.
+    """
     a, b = (np.array(list(map(len, x)), np.int64) for x in (left, right))
     need = -(-percent * (a[:, None] + b[None, :]) // (100 + percent))
     alive = np.minimum(a[:, None], b[None, :]) >= need
-    overlap = np.zeros(alive.shape, np.int64)
+    if apart is not None:
+        alive &= apart
     kinds = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
-    rest = [[np.searchsorted(kinds, s[np.isin(s, kinds, assume_unique=True)]) for s in x] for x in (left, right)]
-    for start in range(0, len(kinds), COLUMNS):
+    if not len(kinds) or not alive.any():
+        return np.empty((0, 2), np.int64)
+
+    def entries(x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        every, row = np.concatenate(x), np.repeat(np.arange(len(x)), list(map(len, x)))
+        at = np.minimum(np.searchsorted(kinds, every), len(kinds) - 1)
+        both = kinds[at] == every
+        by = np.argsort(at[both], kind="stable")
+        return at[both][by], row[both][by], np.bincount(at[both], minlength=len(kinds))
+
+    (cl, rl, nl), (cr, rr, nr) = entries(left), entries(right)
+    crowded = nl * nr > CROWDED
+    # sparse columns: each right entry meets the left entries of its column
+    light = ~crowded[cr]
+    times, begin = nl[cr[light]], (np.cumsum(nl) - nl)[cr[light]]
+    overlap = np.zeros(alive.size, np.int64)
+    edges = np.searchsorted(np.cumsum(times), np.arange(0, times.sum() + PAIRED, PAIRED), side="right")
+    for lo, hi in zip(np.concatenate([[0], edges]), np.concatenate([edges, [len(times)]]), strict=True):
+        t = times[lo:hi]
+        within = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
+        overlap += np.bincount(rl[np.repeat(begin[lo:hi], t) + within] * len(right) + np.repeat(rr[light][lo:hi], t), minlength=alive.size)
+    overlap = overlap.reshape(alive.shape)
+    dense = np.flatnonzero(crowded)
+    left_over = len(dense)
+    for start in range(0, len(dense), COLUMNS):
+        alive &= overlap + left_over >= need
         if not alive.any():
             break
-        dense = []
-        for x in rest:
-            m = np.zeros((len(x), COLUMNS), np.float32)
-            for i, columns in enumerate(x):
-                m[i, columns[np.searchsorted(columns, start):np.searchsorted(columns, start + COLUMNS)] - start] = 1
-            dense.append(m)
-        overlap += (dense[0] @ dense[1].T).astype(np.int64)
-        left_over = [np.array([len(c) - np.searchsorted(c, start + COLUMNS) for c in x]) for x in rest]
-        alive &= overlap + np.minimum(left_over[0][:, None], left_over[1][None, :]) >= need
+        some = np.full(len(kinds), -1)
+        some[dense[start:start + COLUMNS]] = np.arange(len(dense[start:start + COLUMNS]))
+        blocks = []
+        for c, r, x in ((cl, rl, left), (cr, rr, right)):
+            m = np.zeros((len(x), len(dense[start:start + COLUMNS])), np.float32)
+            inside = some[c] >= 0
+            m[r[inside], some[c[inside]]] = 1
+            blocks.append(m)
+        overlap += (blocks[0] @ blocks[1].T).astype(np.int64)
+        left_over -= COLUMNS
     return np.argwhere(alive & links(overlap, a[:, None], b[None, :], percent))
 
 
@@ -278,7 +311,8 @@ def whole_block_products(blocks: DataFrame, texts: DataFrame, n: int, percent: i
                     x = parent[x]
                 return x
 
-            for i, j in tile_links([all_sets[i] for i in left], [all_sets[j] for j in right], percent).tolist():
+            apart = comp[left][:, None] != comp[right][None, :]
+            for i, j in tile_links([all_sets[i] for i in left], [all_sets[j] for j in right], percent, apart).tolist():
                 p, q = root(comp[left[i]]), root(comp[right[j]])
                 if p != q:
                     parent[max(p, q)] = min(p, q)
