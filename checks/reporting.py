@@ -72,7 +72,7 @@ select finding_id, category, n, place, rank, best_alert_id, confidence_score, un
  concat(category, ' (', n, case when n > 1 then ' events)' else ' event)' end) as summary, {DUR} as duration from al join tl using (finding_id) where rank <= 10"""
 
 QUERIES["RPT_1_findings_summary"] = lambda s, d: P.findings_summary(findings(s, d))
-SQL["RPT_1_findings_summary"] = FC + """, hd as (select * from fc order by last_us desc, finding_id limit 50), cn as (select 'severity' as field, severity as value, count(*) as n from hd group by 2
+SQL["RPT_1_findings_summary"] = FC + """, hd as (select * from fc), cn as (select 'severity' as field, severity as value, count(*) as n from hd group by 2
  union all select 'source', ip, count(*) from hd group by 2 union all select 'finding_type', finding_type, count(*) from hd group by 2)
 select *, row_number() over (partition by field order by n desc, value) as rank from cn"""
 QUERIES["RPT_2_recommendations"] = lambda s, d: P.recommendations(view(s, d, "alerts").withColumn("src_ip", F.col("dst_ip"))).select("src_ip", F.array_join("recommendations", "; ").alias("advice"))

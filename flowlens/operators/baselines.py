@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.conn import failed_connection
 from flowlens.operators.groups import group_features, measures
+from flowlens.operators.profiles import join_null_safe
 from flowlens.operators.sliding import Group, previous_time, sample_std, square
 
 BEACON = ["orig_h", "resp_h", "resp_p", "proto"]
@@ -49,7 +50,7 @@ def beacon_fit(df: DataFrame) -> DataFrame:
     rows = df.withColumns({f"_{k}": v for k, v in measures().items()}).groupBy(*BEACON).agg(
         F.count("*").alias("n"), *[F.sum(f"_{c}").alias(c) for c in ("dur", "dur_sq", "ob", "ob_sq")])
     gaps = _steps(df).groupBy(*BEACON).agg(F.sum("step").alias("gap"), F.sum(square(F.col("step"))).alias("gap_sq"))
-    both = rows.join(gaps, BEACON, "left").fillna(0, ["gap"]).withColumn("gap_sq", F.coalesce("gap_sq", F.lit(0).cast("decimal(38,0)")))
+    both = join_null_safe(rows, gaps, BEACON, "left").fillna(0, ["gap"]).withColumn("gap_sq", F.coalesce("gap_sq", F.lit(0).cast("decimal(38,0)")))
     n, mean = F.col("n"), F.col("gap") / F.col("n") / 1e6
     std = sample_std(n, F.col("gap"), F.col("gap_sq"), 1e6)
     return both.select(

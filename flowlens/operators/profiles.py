@@ -88,6 +88,13 @@ def concurrency_active(df: DataFrame, *, window_us: int) -> DataFrame:
     return out.withColumnRenamed("open__n", "concurrent_connections")
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null; the keys come from the left."""
+    named = right.select(*[F.col(k).alias(f"_r_{k}") if k in keys else F.col(k) for k in right.columns])
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(named, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
 def arrival_gap(df: DataFrame, keys: list[str], *, tie: str = "uid", out: str = "gap_us") -> DataFrame:
     """Microseconds since the previous row of the group; the first row has 0.
 
@@ -97,9 +104,10 @@ def arrival_gap(df: DataFrame, keys: list[str], *, tie: str = "uid", out: str =
     points = df.select(*keys, "ts_us").distinct()
     steps = previous_time(points, keys, "ts_us").select(*keys, "ts_us", (F.col("ts_us") - F.col("prev")).alias("_step"))
     firsts = df.groupBy(*keys, "ts_us").agg(F.min(tie).alias("_first"))
-    info = firsts.join(steps, [*keys, "ts_us"])
+    # null keys and times are groups like others
+    info = join_null_safe(firsts, steps, [*keys, "ts_us"])
     return (
-        df.join(info, [*keys, "ts_us"])
+        join_null_safe(df, info, [*keys, "ts_us"])
         .withColumn(out, F.when(F.col(tie) == F.col("_first"), F.coalesce("_step", F.lit(0))).otherwise(F.lit(0)))
         .drop("_step", "_first")
     )
@@ -118,6 +126,6 @@ def backfill(df: DataFrame, cols: list[str], *, key: str = "orig_h", order: str
     per_slot = slotted.groupBy(key, "_slot").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), rank)).alias(f"_s_{c}") for c in cols])
     later = Window.partitionBy(key).orderBy(F.desc("_slot")).rowsBetween(Window.unboundedPreceding, -1)
     next_slots = per_slot.select(key, "_slot", *[F.last(f"_s_{c}", ignorenulls=True).over(later).alias(f"_next_{c}") for c in cols])
-    out = filled.join(next_slots, [key, "_slot"])
+    out = join_null_safe(filled, next_slots, [key, "_slot"])
     out = out.withColumns({c: F.coalesce(f"_in_{c}", f"_next_{c}", F.lit(0)) for c in cols})
     return out.select(*df.columns)

@@ -22,7 +22,6 @@ EXACT_NAMES = {
 }
 UNPREFIXED = ["port_scan", "brute_force", "brute_force_attack"]
 RISK_LEVELS = [(80, "Critical"), (60, "High"), (40, "Medium"), (20, "Low")]
-SUMMARY_FINDINGS = 50
 # --------------------------------------------------------------------------------
 
 
@@ -126,9 +125,10 @@ def patterns(evidence: DataFrame) -> DataFrame:
     states = rows.filter(~F.col("conn_state").isin("", "-")).groupBy(*keys, "conn_state").agg(F.count("*").alias("_n")).groupBy(*keys).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("conn_state", "_n")))).alias("connection_states"))
     out = counts.join(states, keys, "left")
-    for value, n, name in (("dst_ip", 5, "destination_ips"), ("dst_port", 10, "destination_ports"), ("proto", 20, "protocols")):
+    for value, n, name in (("dst_ip", 5, "destination_ips"), ("dst_port", 10, "destination_ports")):
         out = out.join(smallest_distinct(rows, keys, value, n, name), keys, "left")
-    return out
+    protocols = rows.groupBy(*keys).agg(F.array_sort(F.collect_set("proto")).alias("protocols"))
+    return out.join(protocols, keys, "left")
 
 
 def evidence_summary() -> Column:
@@ -168,12 +168,10 @@ def pre_analysis(evidence: DataFrame, *, top: int = 10) -> DataFrame:
 # --- findings ---------------------------------------------------------------------
 
 
-def findings_summary(findings: DataFrame, *, max_findings: int = SUMMARY_FINDINGS) -> DataFrame:
-    """Counts of the latest findings by severity, source, type and behaviour in
-    one pass; rank 1 is the most frequent value of its field. The cap on the
-    number of findings is part of the report."""
-    head = findings.orderBy(F.desc("last_us"), "finding_id").limit(max_findings)
-    tall = head.select("severity", F.col("ip").alias("source"), "finding_type").unpivot([], ["severity", "source", "finding_type"], "field", "value")
+def findings_summary(findings: DataFrame) -> DataFrame:
+    """Counts of all findings by severity, source, type and behaviour in one
+    pass; rank 1 is the most frequent value of its field."""
+    tall = findings.select("severity", F.col("ip").alias("source"), "finding_type").unpivot([], ["severity", "source", "finding_type"], "field", "value")
     counts = tall.groupBy("field", "value").agg(F.count("*").alias("n"))
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "value")))
 
