@@ -4,6 +4,11 @@ Rows of the matrix are documents, columns their distinct word n-grams (64-bit
 hashes). Documents of equal rows are one class. A pair of classes links when
 100 * |A and B| >= percent * |A or B|.
 
+Bounds. Of a set that links, all but ``100 - percent`` in a hundred n-grams occur in some
+other set. So a class with more n-grams of its own than that is discarded: first by
+those in a fixed share of the hashes, which discards most classes with unique text
+and shuffles little, then by all n-grams of the classes left.
+
 Blocks. Linked sets of sizes near s differ in at most ``d`` n-grams, a bound that
 follows from the size and the threshold. The columns are cut by hash into more than
 ``d`` parts, so linked rows agree entirely on some part: a block is all rows that
@@ -29,14 +34,14 @@ empty result. Extra columns are ignored. Very long texts are read whole.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
 from flowlens.llm.common import fresh, settle, table
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TILE = 512
@@ -44,6 +49,7 @@ COLUMNS = 4096
 #: Blocks that share rows are multiplied as one up to so many rows, and for themselves beyond.
 JOINED = 4 * TILE
 REMEMBERED = 300_000
+LOT = 100_000
 MASK = (1 << 64) - 1
 #: Odd 64-bit multipliers (golden ratio and two primes of common mixing functions).
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -128,32 +134,69 @@ def links(overlap: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np
     return 100 * overlap >= percent * (a + b - overlap)
 
 
+def own_bound(size: Column, percent: int) -> Column:
+    """Most n-grams that a linked set of this size can have for itself."""
+    return F.floor(size * (100 - percent) / 100)
+
+
 def sets(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(doc_id, key, n_shingles, digest, parts) of every row; key is the hash of the text."""
+    """(doc_id, key, n_shingles, digest, some) of every row; key is the hash of the text, ``some`` the n-grams in a share of the hashes.
+
+    The share is half as much again as a linked set may have for itself, so that own text shows in it.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    below = np.uint64(min(MASK, (MASK // 200) * 3 * (100 - percent)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = Parts(percent)
         for batch in batches:
-            size, digest, parts = [], [], []
+            size, digest, some = [], [], []
             for text in batch.column("text"):
                 s = shingles(text.as_py(), n)
                 size.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                parts.append(cut.signatures(s).astype(np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-            joined = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), joined], names=["doc_id", "key", "n_shingles", "digest", "parts"])
+                some.append(s[:np.searchsorted(s, below)].astype(np.int64))
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in some])])
+            joined = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(some) if some else np.empty(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), joined], names=["doc_id", "key", "n_shingles", "digest", "some"])
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(run, f"doc_id {kind}, key long, n_shingles long, digest binary, some array<long>")
+
+
+def own_ngrams(entries: DataFrame) -> DataFrame:
+    """(owner, own): how many n-grams of (ngram, owner) rows an owner has for itself. Frequent n-grams shrink before the shuffle."""
+    kinds = entries.groupBy("ngram").agg(F.min("owner").alias("owner"), F.max("owner").alias("last"))
+    return kinds.filter("owner = last").groupBy("owner").agg(F.count("*").alias("own"))
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(run, f"doc_id {kind}, key long, n_shingles long, digest binary, parts array<long>")
 
+def text_numbers(texts: DataFrame, name: str, numbers: Callable[[str], np.ndarray]) -> DataFrame:
+    """(name, cls): the numbers that a function gives for each text, in lots of about ``LOT``."""
 
-def block_rows(classes: DataFrame) -> DataFrame:
+    def lot(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        values = np.concatenate([v for _, v in held]) if held else np.empty(0, np.uint64)
+        owner = np.repeat(np.array([c for c, _ in held], np.int64), [len(v) for _, v in held])
+        return pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(owner)], names=[name, "cls"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, count = [], 0
+            for cls, text in zip(batch.column("cls").to_pylist(), batch.column("text"), strict=True):
+                held.append((cls, numbers(text.as_py())))
+                count += len(held[-1][1])
+                if count >= LOT:
+                    yield lot(held)
+                    held, count = [], 0
+            if held:
+                yield lot(held)
+
+    return texts.select("cls", "text").mapInArrow(run, f"{name} long, cls long")
+
+
+def block_rows(parts: DataFrame) -> DataFrame:
     """(part, first, cls): the rows of every block of two or more, but for its first row.
 
     Rows come sorted by part, so a task passes over them once, whatever a block's size.
     """
-    rows = classes.select(F.explode("parts").alias("part"), "cls").repartition("part").sortWithinPartitions("part", "cls")
+    rows = parts.repartition("part").sortWithinPartitions("part", "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, first = None, None
@@ -289,14 +332,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     docs = docs.select("doc_id", "text")
     rows = settle(sets(docs, n, percent))
     # any row of a class stands for it; its text is found again by id and hash of text
-    classes = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "key")).alias("row"), F.first("parts").alias("parts"))
+    classes = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "key")).alias("row"), F.first("n_shingles").alias("size"))
     classes = settle(classes.withColumn("cls", F.monotonically_increasing_id()))
-    blocks = settle(block_rows(classes))
-    edges = settle(blocks.select("first", "cls").distinct())
-    members = edges.select("cls").union(edges.select("first")).distinct()
-    wanted = classes.select("row.*", F.col("cls").alias("k")).join(members, F.col("k") == F.col("cls"), "left_semi").toDF("i", "x", "k").hint("shuffle_hash")
+    own = own_ngrams(rows.select(F.explode("some").alias("ngram"), F.xxhash64("digest").alias("owner")))
+    wanted = classes.join(own, F.xxhash64("digest") == F.col("owner"), "left").filter((F.col("size") > 0) & (F.coalesce("own", F.lit(0)) <= own_bound(F.col("size"), percent)))
+    wanted = wanted.select("row.*", "cls", "size").toDF("i", "x", "cls", "size").hint("shuffle_hash")
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("x")))
-    texts = settle(texts.select(F.col("k").alias("cls"), "text").dropDuplicates(["cls"]))
+    texts = settle(texts.select("cls", "size", "text").dropDuplicates(["cls"]))
+    own = own_ngrams(text_numbers(texts, "ngram", lambda t: shingles(t, n)).withColumnRenamed("cls", "owner"))
+    texts = texts.join(own, F.col("cls") == F.col("owner"), "left").filter(F.coalesce("own", F.lit(0)) <= own_bound(F.col("size"), percent))
+    texts = settle(texts.select("cls", "text"))
+    cut = Parts(percent)
+    blocks = settle(block_rows(text_numbers(texts, "part", lambda t: cut.signatures(shingles(t, n)))))
+    edges = settle(blocks.select("first", "cls").distinct())
     linked = settle(first_row_products(edges, texts, n, percent))
     comps = components(linked)
     label = comps.select(F.col("cls").alias("c"), "comp")
