@@ -17,9 +17,11 @@ near a range's lower end also takes the parts of the range below. Rows with so m
 empty parts that only empty ones might agree take their empty parts too. A passage
 that many documents share spreads over all parts and makes no block.
 
-Products. Each block's first row is multiplied with the block's other rows, every
-such pair once in all blocks, and links make components. Blocks whose rows are all
-in one component are done. The others, joined where they share rows, are multiplied
+Products. Each block's first ``FIRST`` rows are multiplied with the rows after them, every
+such pair once in all blocks, and links make components. Bitmaps of the rows go first
+and discard pairs that differ in more n-grams than their sizes allow. Blocks whose
+further rows are all in one component are done. The others, without their first
+rows and joined where they share rows, are multiplied
 whole, tile by tile of about ``TILE`` rows a side, overlap counts adding up over ranges of columns
 while pairs that cannot reach their bound are discarded; a tile returns links that
 join different components, never all pairs. So no link between components is lost.
@@ -50,6 +52,7 @@ COLUMNS = 4096
 JOINED = 4 * TILE
 REMEMBERED = 300_000
 LOT = 100_000
+FIRST = 16
 MASK = (1 << 64) - 1
 #: Odd 64-bit multipliers (golden ratio and two primes of common mixing functions).
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -192,29 +195,68 @@ def text_numbers(texts: DataFrame, name: str, numbers: Callable[[str], np.ndarra
 
 
 def block_rows(parts: DataFrame) -> DataFrame:
-    """(part, first, cls): the rows of every block of two or more, but for its first row.
+    """(part, nth, first, cls): the rows of every block with each of the block's ``FIRST`` first rows that come before them.
 
     Rows come sorted by part, so a task passes over them once, whatever a block's size.
     """
     rows = parts.repartition("part").sortWithinPartitions("part", "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, first = None, None
+        last, firsts = None, []
         for batch in batches:
-            part, cls = batch.column("part").to_numpy(), batch.column("cls").to_numpy()
-            if not len(part):
-                continue
-            new = np.concatenate([[True], part[1:] != part[:-1]])
-            starts = cls[new]
-            if part[0] == last:
-                starts = starts.copy()
-                starts[0] = first
-            head = starts[np.cumsum(new) - 1]
-            last, first = part[-1], head[-1]
-            other = head != cls
-            yield pa.RecordBatch.from_arrays([pa.array(part[other]), pa.array(head[other]), pa.array(cls[other])], names=["part", "first", "cls"])
-
-    return rows.mapInArrow(run, "part long, first long, cls long")
+            out = []
+            for part, cls in zip(batch.column("part").to_pylist(), batch.column("cls").to_pylist(), strict=True):
+                if part != last:
+                    last, firsts = part, []
+                out += [(part, nth, first, cls) for nth, first in enumerate(firsts) if first != cls]
+                if len(firsts) < FIRST and cls not in firsts:
+                    firsts.append(cls)
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["part", "nth", "first", "cls"])
+
+    return rows.mapInArrow(run, "part long, nth long, first long, cls long")
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    """One bit for each n-gram, in four to eight times as many bits, by the low bits of the hashes."""
+    bits = np.zeros(max(8, 1 << (4 * len(s) - 1).bit_length()), np.uint8)
+    bits[(s & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def may_link(a: bytes, b: bytes, size_a: int, size_b: int, percent: int) -> bool:
+    """False if bits of one side alone show that the sets differ too much. The longer map is folded to the shorter."""
+    width = 8 * min(len(a), len(b))
+    x, y = int.from_bytes(a, "little"), int.from_bytes(b, "little")
+    while x.bit_length() > width or y.bit_length() > width:
+        x, y = ((v >> width) | (v & ((1 << width) - 1)) for v in (x, y))
+    most = min(size_a - (x & ~y).bit_count(), size_b - (y & ~x).bit_count())
+    return (100 + percent) * most >= percent * (size_a + size_b)
+
+
+def likely_pairs(edges: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The (first, cls) pairs that sizes and bitmaps do not rule out."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets_ = [shingles(t.as_py(), n) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(list(map(len, sets_)), pa.int64()), pa.array(list(map(bitmap, sets_)), pa.binary())], names=["c", "size", "bits"])
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [may_link(*row, percent) for row in zip(*(batch.column(c).to_pylist() for c in ("bits1", "bits2", "size1", "size2")), strict=True)]
+            yield batch.select(["first", "cls"]).filter(pa.array(good, pa.bool_()))
+
+    maps = settle(texts.select("cls", "text").mapInArrow(draw, "c long, size long, bits binary"))
+    pairs = edges
+    for side, of in ((1, "first"), (2, "cls")):
+        sizes = maps.select(F.col("c").alias(f"c{side}"), F.col("size").alias(f"size{side}"))
+        pairs = pairs.join(sizes, F.col(of) == F.col(f"c{side}"))
+    pairs = pairs.filter(100 * F.least("size1", "size2") >= percent * F.greatest("size1", "size2"))
+    for side, of in ((1, "first"), (2, "cls")):
+        bits = maps.select(F.col("c").alias(f"b{side}"), F.col("bits").alias(f"bits{side}"))
+        pairs = pairs.join(bits, F.col(of) == F.col(f"b{side}"))
+    return pairs.select("first", "cls", "bits1", "bits2", "size1", "size2").mapInArrow(test, "first long, cls long")
 
 
 def first_row_products(edges: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -345,16 +387,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     cut = Parts(percent)
     blocks = settle(block_rows(text_numbers(texts, "part", lambda t: cut.signatures(shingles(t, n)))))
     edges = settle(blocks.select("first", "cls").distinct())
-    linked = settle(first_row_products(edges, texts, n, percent))
+    linked = settle(first_row_products(settle(likely_pairs(edges, texts, n, percent)), texts, n, percent))
     comps = components(linked)
     label = comps.select(F.col("cls").alias("c"), "comp")
-    marked = blocks.join(label, F.col("first") == F.col("c"), "left").select("part", "first", "cls", F.coalesce("comp", "first").alias("first_comp"))
-    marked = marked.join(label, F.col("cls") == F.col("c"), "left").select("part", "first", "cls", "first_comp", F.coalesce("comp", "cls").alias("comp"))
-    unsettled = settle(marked.filter("comp <> first_comp").select(F.col("part").alias("p")).distinct())
-    if not unsettled.isEmpty():
-        still = settle(marked.join(unsettled, F.col("part") == F.col("p"), "left_semi"))
-        open_rows = still.select("part", "cls", "comp").union(still.select("part", F.col("first").alias("cls"), F.col("first_comp").alias("comp")).distinct())
-        more = settle(whole_block_products(joined_blocks(open_rows, still.select("first", "cls").distinct()), texts, n, percent).distinct())
+    # pairs without a first row of their block are still open, where components differ
+    marked = blocks.filter(F.col("nth") == FIRST - 1).join(label, F.col("cls") == F.col("c"), "left").select("part", "cls", F.coalesce("comp", "cls").alias("comp"))
+    unsettled = marked.groupBy(F.col("part").alias("p")).agg(F.min("cls").alias("least"), F.min("comp").alias("from"), F.max("comp").alias("to"))
+    still = settle(marked.join(unsettled.filter("from <> to").select("p", "least"), F.col("part") == F.col("p")).select("part", "cls", "comp", "least"))
+    if not still.isEmpty():
+        open_rows, open_edges = still.select("part", "cls", "comp"), still.select(F.col("least").alias("first"), "cls").distinct()
+        more = settle(whole_block_products(joined_blocks(open_rows, open_edges), texts, n, percent).distinct())
         if not more.isEmpty():
             comps = components(linked.unionByName(more))
     label = comps.select(F.col("cls").alias("c"), "comp")
