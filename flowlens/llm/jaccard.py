@@ -43,7 +43,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from flowlens.llm.common import fresh, settle, table
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TILE = 512
@@ -369,6 +369,12 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def thinned(links: DataFrame) -> DataFrame:
+    """Links (a, b) of the same components: each b to its smallest a, and that one to the other a of b, once each."""
+    held = links.withColumn("least", F.min("a").over(Window.partitionBy("b")))
+    return held.select(F.col("least").alias("a"), "b").union(held.filter("a <> least").select("least", "a")).distinct()
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest doc_id reachable by links."""
     docs = docs.select("doc_id", "text")
@@ -388,6 +394,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     blocks = settle(block_rows(text_numbers(texts, "part", lambda t: cut.signatures(shingles(t, n)))))
     edges = settle(blocks.select("first", "cls").distinct())
     linked = settle(first_row_products(settle(likely_pairs(edges, texts, n, percent)), texts, n, percent))
+    linked = settle(thinned(linked))
     comps = components(linked)
     label = comps.select(F.col("cls").alias("c"), "comp")
     # pairs without a first row of their block are still open, where components differ
