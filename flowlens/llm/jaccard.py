@@ -310,7 +310,7 @@ def tile_links(left: list[np.ndarray], right: list[np.ndarray], percent: int) ->
 
 def joined_blocks(open_rows: DataFrame, open_edges: DataFrame) -> DataFrame:
     """(joined, part, cls, comp): blocks that share rows become one block, unless that has more than ``JOINED`` rows."""
-    family = components(open_edges.select(F.col("first").alias("a"), F.col("cls").alias("b"))).select(F.col("cls").alias("c"), F.col("comp").alias("family"))
+    family = components(thinned(open_edges.select(F.col("first").alias("a"), F.col("cls").alias("b")))).select(F.col("cls").alias("c"), F.col("comp").alias("family"))
     rows = settle(open_rows.select("cls", "comp").distinct().join(family, F.col("cls") == F.col("c")).select("cls", "comp", "family"))
     small = rows.groupBy(F.col("family").alias("f")).count().filter(F.col("count") <= JOINED).select("f")
     whole = rows.join(small, F.col("family") == F.col("f"), "left_semi").select(F.lit(True).alias("joined"), F.col("family").alias("part"), "cls", "comp")
