@@ -4,8 +4,11 @@ Per document, counts are taken from the whole text. Their ratios go into mergeab
 quantile sketches (``percentile_approx``: partial sketches per task, merged by key),
 one per (language, source), one per language and one over all. A group with fewer
 than ``min_rows`` documents takes the thresholds of its language, and a language
-with fewer those of all documents. A document is kept when its base rules hold and
-every ratio lies inside quartile fences of its group.
+with fewer those of all documents. A document is kept when its base rules hold, its
+mean word length lies inside fences around the group's deciles, and no other ratio is
+above its quantile in the group. Those ratios are zero in most documents, where
+quartiles say nothing, so a rule's quantile follows from the ``SHARES`` it may reject
+at most; where the quantile itself is zero, any more than zero is too much.
 
 Null text: no words, so the base rules fail. Null language or source is a group of
 its own. Empty table: empty result. Repeated rows count as often as they occur.
@@ -21,7 +24,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RATIOS = ["word_length", "symbols", "repeats", "duplicate_lines"]
-QUARTILES = [0.25, 0.5, 0.75]
+#: Word lengths spread over all documents, so that fences around two deciles hold.
+DECILES = [0.1, 0.9]
+#: The share of a group's documents that a rule rejects at most, those with the highest ratios.
+SHARES = {"symbols": 0.1, "repeats": 0.05, "duplicate_lines": 0.02}
+#: The distance of the deciles if most of a group are copies of one text, in letters.
+LEAST_SPREAD = 0.1
 
 
 def repeated_words(hashes: Column) -> Column:
@@ -60,26 +68,27 @@ def ratios(counts: DataFrame) -> DataFrame:
 
 
 def thresholds(rated: DataFrame, min_rows: int = 200, accuracy: int = 10_000) -> DataFrame:
-    """Quartiles per (lang, source), filled in from the language and from all documents.
+    """Quantiles per (lang, source), per language and over all documents: two of the word length, one of each other ratio.
 
     Only documents that pass the base rules shape the thresholds. The three levels
     come from one pass over grouping sets.
     """
     good = rated.filter(~F.col("base_failed"))
-    sketches = [F.percentile_approx(c, QUARTILES, accuracy).alias(c) for c in RATIOS]
+    sketches = [F.percentile_approx(c, [1 - SHARES[c]] if c in SHARES else DECILES, accuracy).alias(c) for c in RATIOS]
     levels = good.rollup("lang", "source").agg(F.count("*").alias("rows"), F.grouping_id().alias("level"), *sketches)
     return levels.withColumn("enough", (F.col("rows") >= min_rows) | (F.col("level") == 3))
 
 
-def fences(q: Column, width: float, floor: float) -> tuple[Column, Column]:
-    """Quartiles widened by ``width`` times their distance, which counts as ``floor`` at least."""
-    spread = F.greatest(q[2] - q[0], F.lit(floor))
-    return q[0] - width * spread, q[2] + width * spread
+def limits(q: Column, c: str, width: float) -> tuple[Column, Column]:
+    """Lowest and highest good value of a ratio; word lengths may leave their deciles by ``width`` times the deciles' distance."""
+    if c in SHARES:
+        return F.lit(0.0), q[c][0]
+    spread = width * F.greatest(q[c][1] - q[c][0], F.lit(LEAST_SPREAD))
+    return q[c][0] - spread, q[c][1] + spread
 
 
-def judge(docs: DataFrame, min_rows: int = 200, width: float = 4.0, floors: dict[str, float] | None = None) -> DataFrame:
+def judge(docs: DataFrame, min_rows: int = 200, width: float = 2.0) -> DataFrame:
     """doc_id, counts, base_failed, kept and the names of the failed adaptive rules."""
-    floors = floors or {"word_length": 0.5, "symbols": 0.02, "repeats": 0.1, "duplicate_lines": 0.12}
     # the counts are small and used twice, so the texts are read once
     rated = ratios(settle(base_counts(docs)))
     levels = thresholds(rated, min_rows)
@@ -95,8 +104,8 @@ def judge(docs: DataFrame, min_rows: int = 200, width: float = 4.0, floors: dict
     out = out.withColumn("q", F.coalesce("q0", "q1", "q3"))
     failed = []
     for c in RATIOS:
-        low, high = fences(F.col("q")[c], width, floors[c])
-        bad = (F.col(c) > high) | ((F.col(c) < low) if c == "word_length" else F.lit(False))
+        low, high = limits(F.col("q"), c, width)
+        bad = (F.col(c) > high) | (F.col(c) < low)
         failed.append(F.when(F.col("q").isNotNull() & bad, F.lit(c)))
     out = out.withColumn("failed_rules", F.array_compact(F.array(*failed)))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

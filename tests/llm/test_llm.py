@@ -192,6 +192,30 @@ def test_quality_counts_equal_plain_counts(docs):
         assert not (failed and g["kept"])
 
 
+def test_quality_thresholds_follow_the_group(spark):
+    rng = random.Random(5)
+
+    def text(letters, symbols=0, repeated=0, lines=0):
+        words = ["".join(rng.choices("abcdefghij", k=letters + rng.choice([-1, 0, 1]))) for _ in range(100)]
+        words = words[:100 - symbols] + [w + "#" for w in words[100 - symbols:]]
+        words += words[:3] * repeated
+        return " ".join(words) + "".join(f"\nline {k // 2} {letters}" for k in range(lines))
+
+    rows = [("prose", text(6), None) for _ in range(380)] + [("code", text(9, symbols=rng.randrange(20, 30), lines=6), None) for _ in range(380)]
+    bad = {"symbols": text(6, symbols=15), "repeats": text(6, repeated=5), "duplicate_lines": text(6, lines=4), "word_length": text(14)}
+    rows += [("prose", t, c) for c, t in bad.items()] + [("code", text(9, symbols=90, lines=6), "symbols"), ("code", text(9, symbols=15, lines=20), "duplicate_lines")]
+    docs = spark.createDataFrame([(i, t, "en", s) for i, (s, t, _) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    levels = {r["source"]: r for r in quality.thresholds(quality.ratios(quality.base_counts(docs))).filter("level = 0").collect()}
+    assert all(levels["prose"][c] != levels["code"][c] for c in ("word_length", "symbols", "duplicate_lines"))
+    got = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    for i, (_, _, rule) in enumerate(rows):
+        assert not got[i]["base_failed"] and (rule is None or rule in got[i]["failed_rules"] and not got[i]["kept"])
+    assert sum(r["kept"] for r in got.values()) >= 0.8 * len(rows)
+    rate = lambda r: r["n_symbols"] / r["n_words"]
+    kept = [rate(got[i]) for i, (s, _, _) in enumerate(rows) if s == "code" and got[i]["kept"]]
+    assert max(kept) > rate(got[760])  # more symbols than what prose may have
+
+
 def test_language_and_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     known = table(spark, sf, "documents").select("doc_id", "lang")
