@@ -354,19 +354,31 @@ def whole_block_products(blocks: DataFrame, texts: DataFrame, n: int, percent: i
     return rows.groupBy("joined", "part", "lo", "hi").applyInPandas(multiply, "a long, b long")
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(cls, comp) of every class with a link: the smallest class reachable. Each round also jumps to the component's own component."""
+def components(edges: DataFrame) -> DataFrame:
+    """(cls, comp) of every class in ``edges``: the smallest class reachable.
+
+    Each round hooks every component to its smallest neighbour, so that at most half of those
+    with a neighbour stay. Hooks end in two components that hook to each other; the smaller one,
+    which is the smallest of all that lead there, is the root. Pointers double until they reach
+    it, then links between roots are the next round's. So rounds grow with the logarithm.
+    """
     both = settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    state = settle(both.groupBy(F.col("a").alias("cls")).agg(F.least(F.col("a"), F.min("b")).alias("comp")))
-    for _ in range(max_rounds):
-        near = both.join(state, F.col("b") == F.col("cls")).groupBy(F.col("a").alias("n")).agg(F.min("comp").alias("near"))
-        step = state.join(near, F.col("cls") == F.col("n")).select("cls", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
-        jump = state.select(F.col("cls").alias("c"), F.col("comp").alias("further"))
-        new = settle(step.join(jump, F.col("comp") == F.col("c"), "left").select("cls", "was", F.least("comp", F.coalesce("further", "comp")).alias("comp")))
-        state = new.select("cls", "comp")
-        if new.filter("comp <> was").isEmpty():
-            return state
-    raise RuntimeError("components did not settle")
+    state = both.select(F.col("a").alias("cls"), F.col("a").alias("comp")).distinct()
+    rest = both.filter("a <> b")
+    while not rest.isEmpty():
+        hooks = settle(rest.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("up")))
+        mutual = hooks.select(F.col("v").alias("w"), F.col("up").alias("back"))
+        pointers = settle(hooks.join(mutual, F.col("up") == F.col("w")).select("v", F.when(F.col("back") == F.col("v"), F.least("v", "up")).otherwise(F.col("up")).alias("up")))
+        moved = True
+        while moved:
+            jump = pointers.select(F.col("v").alias("w"), F.col("up").alias("further"))
+            new = settle(pointers.join(jump, F.col("up") == F.col("w")).select("v", F.col("up").alias("was"), F.col("further").alias("up")))
+            pointers, moved = new.select("v", "up"), not new.filter("up <> was").isEmpty()
+        state = settle(state.join(pointers, F.col("comp") == F.col("v"), "left").select("cls", F.coalesce("up", "comp").alias("comp")))
+        other = pointers.select(F.col("v").alias("w"), F.col("up").alias("b2"))
+        joined = rest.join(pointers, F.col("a") == F.col("v")).select(F.col("up").alias("a2"), "b").join(other, F.col("b") == F.col("w"))
+        rest = settle(joined.filter("a2 <> b2").select(F.col("a2").alias("a"), F.col("b2").alias("b")).distinct())
+    return state
 
 
 def thinned(links: DataFrame) -> DataFrame:

@@ -147,6 +147,14 @@ def test_jaccard_join_equals_brute_force(spark, n, percent):
     assert got == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+def test_components_of_long_chains(spark):
+    rng = random.Random(6)
+    chain, ordered = rng.sample(range(5000), 1000), list(range(6000, 6300))
+    edges = list(zip(chain, chain[1:], strict=False)) + list(zip(ordered, ordered[1:], strict=False)) + [(7000, x) for x in range(6500, 6600)] + [(8000, 8000), (8002, 8001)]
+    got = dict(jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect())
+    assert got == {x: min(chain) for x in chain} | {x: 6000 for x in ordered} | {x: 6500 for x in [*range(6500, 6600), 7000]} | {8000: 8000, 8001: 8001, 8002: 8001}
+
+
 @pytest.mark.parametrize("hot", [0, suffixes.HOT])
 def test_substring_dedup_equals_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(suffixes, "HOT", hot)
