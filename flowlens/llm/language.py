@@ -64,7 +64,7 @@ class Letters:
         letter = self.is_letter[points]
         keep = letter.copy()
         keep[1:] |= letter[:-1]
-        keep[0] = True
+        keep[np.cumsum([0, *map(len, lowered[:-1])])] = True  # the space before each text
         points, owner = np.where(letter, points, 32)[keep], owner[keep]
         own, number = present(points)
         n, base = self.gram, len(own)
@@ -169,7 +169,8 @@ def learn(docs: DataFrame, dim: int = DIM, gram: int = GRAM, seed: int = SEED) -
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], columns: list[str], dim: int = DIM, gram: int = GRAM, seed: int = SEED) -> DataFrame:
     """``columns`` of ``docs`` with lang_pred and score; only the text is looked at."""
     names, key = list(prototypes), f"{dim}-{gram}-{seed}"
-    matrix = np.stack([prototypes[n] for n in names], axis=1).astype(np.float32) if names else None
+    # whole numbers, as the texts' vectors are, add up to the same sum in any order
+    matrix = np.rint(np.stack([prototypes[n] for n in names], axis=1) * SCALE) if names else None
     (source,) = ["text"] if "text" in columns else fresh(docs, "text")
     kept = docs.select(*columns, *([] if "text" in columns else [F.col("text").alias(source)]))
 
@@ -178,12 +179,12 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], columns: list[st
         for batch in batches:
             langs, scores = [], []
             for some in slices([t or "" for t in batch.column(source).to_pylist()]):
-                vectors = letters.bundle(some)
-                lengths = np.linalg.norm(vectors, axis=1)
+                vectors = letters.bundle(some).astype(np.float64)
+                lengths = np.sqrt((vectors * vectors).sum(axis=1))
                 if matrix is None:
                     near, best = np.zeros(len(some), int), np.zeros(len(some))
                 else:
-                    cosines = (vectors @ matrix) / np.where(lengths > 0, lengths, 1)[:, None]
+                    cosines = (vectors @ matrix) / (np.where(lengths > 0, lengths, 1) * SCALE)[:, None]
                     near, best = cosines.argmax(axis=1), cosines.max(axis=1)
                 langs += [names[i] if n > 0 and names else UNKNOWN for i, n in zip(near, lengths, strict=True)]
                 scores += np.where(lengths > 0, np.clip(best, 0, 1), 0).tolist()

@@ -241,6 +241,18 @@ def test_language_without_letters(spark):
     assert got[1][0] == "en" and got[2][0] == "fr" and got[3] == got[4] == ("und", 0.0)
 
 
+def test_language_does_not_depend_on_the_place_in_a_batch(spark):
+    letters = language.Letters()
+    one, two = "The cat sat on the mat.", "\u00e9 1 x"
+    vectors = letters.bundle([one, "A.", one, "!? b", two, "", one, "123", two, "A."])
+    assert all((vectors[i] == vectors[0]).all() for i in (2, 6)) and (vectors[4] == vectors[8]).all() and (vectors[1] == vectors[9]).all()
+    assert vectors[[1, 3]].any(axis=1).all() and not vectors[[5, 7]].any()
+    assert (vectors == np.concatenate([letters.bundle([t]) for t in (one, "A.", one, "!? b", two, "", one, "123", two, "A.")])).all()
+    docs = spark.createDataFrame([(1, "a cat", "en"), (2, "A.", "en"), (3, "a cat", "en")], "doc_id long, text string, lang string").coalesce(1)
+    got = {r[0]: (r[1], r[2]) for r in language.predict(docs, language.learn(docs), ["doc_id"]).collect()}
+    assert got[2][0] == "en" and got[2][1] > 0 and got[1] == got[3]
+
+
 def test_chat_tree_picks_the_best_branch_and_reads_back(spark):
     rows = [("t", 1, None, "user", "q <|im_end|>", 0.0), ("t", 2, 1, "assistant", "bad", 0.1), ("t", 3, 1, "assistant", "go<\\|od\n", 0.9), ("t", 4, 3, "user\\|x\n", None, None), ("t", 9, 9, "user", "alone", -1.0)]
     messages = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double")
