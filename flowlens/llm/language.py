@@ -35,8 +35,8 @@ SEED = 17
 UNKNOWN = "und"
 #: Unit vectors are added as integers of this scale.
 SCALE = 1 << 20
-#: Characters handled at once, and documents bundled at once.
-SLICE, TOGETHER = 1_000_000, 32
+#: Characters handled at once, documents bundled at once, and n-grams bound at once.
+SLICE, TOGETHER, BOUND = 1_000_000, 32, 2048
 
 
 class Letters:
@@ -104,7 +104,8 @@ class Letters:
                 kinds, at = present(some)
                 rows = min(TOGETHER, len(texts) - k * TOGETHER)
                 counts = np.bincount(who * np.int64(len(kinds)) + at, minlength=rows * len(kinds)).reshape(rows, -1)
-                out[k * TOGETHER:k * TOGETHER + rows] = counts.astype(np.float32) @ self.bind(letters[kinds]).astype(np.float32)
+                for i in range(0, len(kinds), BOUND):
+                    out[k * TOGETHER:k * TOGETHER + rows] += counts[:, i:i + BOUND].astype(np.float32) @ self.bind(letters[kinds[i:i + BOUND]]).astype(np.float32)
         return out
 
 
@@ -119,10 +120,10 @@ def present(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(texts: list[str], limit: int = SLICE) -> Iterator[list[str]]:
-    """The texts in order, in lists of bounded total length (one longer text may stand alone)."""
+    """The texts in order, in lists of bounded total length (one longer text may stand alone) and number."""
     some, size = [], 0
     for text in texts:
-        if some and size + len(text) > limit:
+        if some and (size + len(text) > limit or len(some) >= 32 * TOGETHER):
             yield some
             some, size = [], 0
         some.append(text)

@@ -253,6 +253,21 @@ def test_language_does_not_depend_on_the_place_in_a_batch(spark):
     assert got[2][0] == "en" and got[2][1] > 0 and got[1] == got[3]
 
 
+def test_pipeline_rejects_unseen_scripts_and_keeps_short_texts(spark):
+    rng = random.Random(7)
+    learnt = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    unseen = [" ".join("".join(chr(rng.randint(*script)) for _ in range(rng.randint(2, 9))) for _ in range(200))
+              for script in ((0x430, 0x44F), (0x4E00, 0x9000), (0x627, 0x64A), (0x3B1, 0x3C9)) for _ in range(100)]
+    unseen.append("Это обычное русское предложение, которое мы написали для проверки.")
+    short = ["The cat sat on the mat.", "It was a good day for them.", "Le chat est sur la table.", "Der Hund ist in dem Haus.", "El perro come en la casa."]
+    rows = [(f"u{i}", t) for i, t in enumerate(unseen)] + [(f"s{i}", t) for i, t in enumerate(short)]
+    asked = spark.createDataFrame([(k, t, None, None, len(t)) for k, t in rows], "doc_id string, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.language_id(spark, learnt.withColumn("doc_id", F.col("doc_id").cast("string")).unionByName(asked), "")
+    got = Counter(r["doc_id"][0] if r["doc_id"][0] in "us" else "known" for r in kept.select("doc_id").collect())
+    assert got["u"] <= len(unseen) // 100 and got["s"] == len(short)
+    assert got["known"] == learnt.filter(F.col("text").rlike("[A-Za-z]")).count()
+
+
 def test_chat_tree_picks_the_best_branch_and_reads_back(spark):
     rows = [("t", 1, None, "user", "q <|im_end|>", 0.0), ("t", 2, 1, "assistant", "bad", 0.1), ("t", 3, 1, "assistant", "go<\\|od\n", 0.9), ("t", 4, 3, "user\\|x\n", None, None), ("t", 9, 9, "user", "alone", -1.0)]
     messages = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double")
