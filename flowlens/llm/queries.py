@@ -1,10 +1,10 @@
-"""The queries and SQL of the ten operators, one per module."""
+"""The queries and SQL of the operators, one per module."""
 
 from __future__ import annotations
 
 import importlib
 
-MODULES = ["tokens", "lines", "language", "packing", "decontaminate", "suffixes", "jaccard", "quality", "toxicity", "chat"]
+MODULES = ["tokens", "lines", "language", "packing", "decontaminate", "suffixes", "jaccard", "quality", "toxicity", "chat", "slack", "manifest", "variants"]
 
 
 def collect(attribute: str) -> dict:
