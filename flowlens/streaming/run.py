@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from flowlens.operators.correlate import correlate, findings
-from flowlens.plans.flows import Detector, detect_dns
+from flowlens.plans.flows import Detector, detect_conn, detect_dns
+from flowlens.session import cut_lineage
+from flowlens.sources.commits import query_id
 from flowlens.sources.envelope import unwrap_conn, unwrap_dns
-from flowlens.sources.sinks import FindingsTable
 from flowlens.sources.zeek import split_lines, stream_lines, typed
+from flowlens.streaming.findings import FindingsStore
+from flowlens.streaming.windows import FRESH, QuietState, WindowState
 
 
 class ProgressCallback(StreamingQueryListener):
@@ -46,16 +48,26 @@ def start(rows: DataFrame, each_batch: Callable[[DataFrame, int], None], checkpo
     return writer.start()
 
 
-def run_dns(spark: SparkSession, source: str, evidence: str, table: str, checkpoint: str, detector: Detector, *, window_us: int,
+def run_dns(spark: SparkSession, source: str, store: FindingsStore, checkpoint: str, detector: Detector, *,
             seconds: int | None = None, max_files: int = 100) -> StreamingQuery:
-    """DNS lines to findings. Each batch's alerts are written to their own folder
-    first, so a replayed batch replaces what it wrote; findings come from the
-    stored evidence and go in by upsert. Both steps can be repeated safely."""
-    store = FindingsTable(spark, table)
-
+    """DNS lines to findings: alerts of a trigger go into the open findings of their sources."""
     def each_batch(batch: DataFrame, number: int) -> None:
-        detect_dns(batch, detector, explain=False).write.mode("overwrite").parquet(f"{evidence}/batch={number}")
-        stored = spark.read.parquet(evidence).drop("batch")
-        store.upsert(findings(correlate(stored, window_us=window_us)), number)
+        store.add(detect_dns(batch, detector, explain=False), number, query_id(batch))
 
     return start(parse_lines(stream_lines(spark, source, max_files=max_files), "dns"), each_batch, checkpoint, seconds=seconds)
+
+
+def run_conn(spark: SparkSession, source: str, store: FindingsStore, state: WindowState, quiet: QuietState, checkpoint: str, detector: Detector, *,
+             seconds: int | None = None, max_files: int = 100) -> StreamingQuery:
+    """Connection lines to findings, with the windows and silences of earlier triggers.
+
+    It may write to the store that :func:`run_dns` writes to: commits take turns, and
+    each query has its own batches in the log. A trigger that is run again starts
+    from the states before it, and the store takes it once."""
+    def each_batch(batch: DataFrame, number: int) -> None:
+        run = query_id(batch)
+        rows = state.advance(batch, number, run)
+        alerts = detect_conn(rows, detector, explain=False, quiet_us=None, only=FRESH)
+        store.add(quiet.let_through(cut_lineage(alerts), number, run), number, run)
+
+    return start(parse_lines(stream_lines(spark, source, max_files=max_files), "conn"), each_batch, checkpoint, seconds=seconds)

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from flowlens import schema as S
 from flowlens.fixtures import view
-from flowlens.operators import anchored, correlate, profiles
-from flowlens.sources import envelope, sinks, zeek
+from flowlens.operators import anchored, profiles
+from flowlens.sources import envelope, zeek
 from flowlens.streaming import state
 from flowlens.streaming.run import parse_lines, start
 
@@ -91,17 +91,6 @@ def test_stream_windows_equal_batch(spark, sf_dir, tmp_path):
     assert {(r["uid"], r["start_us"]) for r in got.collect()} == {(r["uid"], r["start_us"]) for r in want.collect()}
 
 
-def test_upsert_is_repeatable(spark, sf_dir, tmp_path):
-    found = correlate.findings(correlate.correlate(view(spark, sf_dir, "alerts"), window_us=300_000_000))
-    store = sinks.FindingsTable(spark, str(tmp_path / "findings"))
-    store.upsert(found, 0)
-    store.upsert(found, 0)
-    first = store.read().count()
-    store.upsert(found.withColumn("risk_score", F.lit(1)), 1)
-    assert store.read().count() == first == found.count()
-    assert store.version() == "v000000000001" and store.read().filter("risk_score <> 1").count() == 0
-
-
 def test_stream_of_lines_catches_up(spark, tmp_path):
     source = tmp_path / "lines"
     source.mkdir()
