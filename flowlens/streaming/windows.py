@@ -74,7 +74,8 @@ class WindowState(RowState):
         """The state and the batch together; FRESH marks the rows whose turn it is.
 
         Compute the families over all of it, then keep the fresh rows. ``rows`` has
-        ``ts_us`` and ``uid`` and whatever the families read.
+        ``ts_us`` and ``uid`` and whatever the families read. What is returned can be
+        read until the batch after the next begins.
         """
         run = run or query_id(rows)
         with self.log.turn:
