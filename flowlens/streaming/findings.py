@@ -1,7 +1,8 @@
 """Findings kept up to date batch by batch, at a cost that does not grow with history.
 
-An anchored window that ended before the horizon (newest time seen less the allowed
-lateness) cannot change any more: its finding and evidence are written once as closed.
+An anchored window that ended before the horizon cannot change any more: its finding and
+evidence are written once as closed. The horizon is the newest time of the feed that is
+farthest behind, less the allowed lateness, so that several streams can share a table.
 The rest is open and lies in hash buckets of the source; a batch reads and rewrites
 only the buckets that its alerts fall into. Within a source all open evidence is
 anchored anew together with the new alerts, so the findings are those of one batch
@@ -17,6 +18,8 @@ are left out and counted. ``alert_id`` is never null.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,9 +32,9 @@ BUCKETS = 64
 
 
 class FindingsStore:
-    def __init__(self, spark: SparkSession, path: str, *, window_us: int, lateness_us: int = 0, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, path: str, *, window_us: int, lateness_us: int = 0, buckets: int = BUCKETS, feeds: Sequence[str] = ("alerts",)):
         self.spark, self.path, self.window_us, self.lateness_us = spark, path, window_us, lateness_us
-        self.log, self.buckets = CommitLog(spark, path), buckets
+        self.log, self.buckets, self.feeds = CommitLog(spark, path), buckets, list(feeds)
 
     def _bucket(self, source: str, buckets: int) -> Column:
         return F.pmod(F.xxhash64(source), F.lit(buckets)).cast("int")
@@ -46,19 +49,26 @@ class FindingsStore:
         names = [f"{table}/commit={v}/closed=true" for v in entry.get("closed", [])]
         return self.log.read(names, entry[f"{table}_schema"])
 
-    def add(self, alerts: DataFrame, batch: int, run: str | None = None) -> bool:
-        """Takes in the alerts of a batch; False if it is in the table already."""
-        run = run or query_id(alerts)
+    def _horizon(self, entry: dict) -> int | None:
+        high = entry.get("high_us", {})
+        return min(high.values()) - self.lateness_us if high and all(f in high for f in self.feeds) else None
+
+    def add(self, alerts: DataFrame, batch: int, run: str | None = None, *, feed: str | None = None, high_us: int | None = None) -> bool:
+        """Takes in the alerts of a batch; False if it is in the table already.
+
+        ``high_us``: newest time that the feed has seen, if not that of its alerts.
+        """
+        run, feed = run or query_id(alerts), feed or self.feeds[0]
         with self.log.turn:
             last = self.log.latest()
             if self.log.has(last, run, batch):
                 return False
-            self._take(alerts, batch, run, last)
+            self._take(alerts, batch, run, last, feed, high_us)
             return True
 
-    def _take(self, alerts: DataFrame, batch: int, run: str, last: dict) -> None:
+    def _take(self, alerts: DataFrame, batch: int, run: str, last: dict, feed: str, high_us: int | None) -> None:
         version, buckets = last["version"] + 1, last.get("buckets", self.buckets)
-        horizon = last["high_us"] - self.lateness_us if "high_us" in last else None
+        horizon = self._horizon(last)
         known = alerts.filter(F.col("src_ip").isNotNull() & (F.col("src_ip") != ""))
         known.withColumn("bucket", self._bucket("src_ip", buckets)).write.mode("overwrite").parquet(f"{self.path}/incoming/commit={version}")
         kind = T.StructType([*known.schema.fields, T.StructField("bucket", T.IntegerType())])
@@ -66,10 +76,11 @@ class FindingsStore:
         timely = F.col("ts_us").isNotNull() if horizon is None else F.coalesce(F.col("ts_us") >= horizon, F.lit(False))
         tally = incoming.groupBy("bucket").agg(F.count_if(timely).alias("timely"), F.count_if(~timely).alias("late"), F.max("ts_us").alias("high")).collect()
         touched = sorted(r["bucket"] for r in tally if r["timely"])
-        highs = [x for x in (last.get("high_us"), *(r["high"] for r in tally)) if x is not None]
+        high = last.get("high_us", {})
+        highs = [x for x in (high.get(feed), high_us, *(r["high"] for r in tally)) if x is not None]
         entry = {**last, "version": version, "buckets": buckets, "late": last.get("late", 0) + sum(r["late"] for r in tally)}
         if highs:
-            entry["high_us"] = max(highs)
+            entry["high_us"] = {**high, feed: max(highs)}
         stale = [f"incoming/commit={version}"]
         if touched:
             stale += self._rewrite(incoming.filter(timely), touched, entry, last)
@@ -87,7 +98,8 @@ class FindingsStore:
             fresh = fresh.join(stored.select("alert_id"), "alert_id", "left_anti").select(*timely.drop("bucket").columns)
             fresh, old = stored.unionByName(fresh, allowMissingColumns=True), self._open(last, "findings", touched)
         placed = correlate(fresh, window_us=self.window_us)
-        closed = F.col("start_us") + self.window_us < entry["high_us"] - self.lateness_us
+        horizon = self._horizon(entry)
+        closed = F.lit(False) if horizon is None else F.col("start_us") + self.window_us < horizon
         evidence = self._write(placed, "evidence", "src_ip", closed, version, buckets)
         states = findings(evidence)
         now = F.unix_micros(F.current_timestamp())

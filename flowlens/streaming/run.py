@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from flowlens.plans.flows import Detector, detect_conn, detect_dns
@@ -52,7 +53,8 @@ def run_dns(spark: SparkSession, source: str, store: FindingsStore, checkpoint:
             seconds: int | None = None, max_files: int = 100) -> StreamingQuery:
     """DNS lines to findings: alerts of a trigger go into the open findings of their sources."""
     def each_batch(batch: DataFrame, number: int) -> None:
-        store.add(detect_dns(batch, detector, explain=False), number, query_id(batch))
+        newest = batch.agg(F.max("ts_us")).first()[0]
+        store.add(detect_dns(batch, detector, explain=False), number, query_id(batch), feed="dns", high_us=newest)
 
     return start(parse_lines(stream_lines(spark, source, max_files=max_files), "dns"), each_batch, checkpoint, seconds=seconds)
 
@@ -61,13 +63,13 @@ def run_conn(spark: SparkSession, source: str, store: FindingsStore, state: Wind
              seconds: int | None = None, max_files: int = 100) -> StreamingQuery:
     """Connection lines to findings, with the windows and silences of earlier triggers.
 
-    It may write to the store that :func:`run_dns` writes to: commits take turns, and
-    each query has its own batches in the log. A trigger that is run again starts
+    It may write to the store that :func:`run_dns` writes to, with ``feeds=("conn", "dns")``:
+    commits take turns, and each query has its own batches in the log. A trigger that is run again starts
     from the states before it, and the store takes it once."""
     def each_batch(batch: DataFrame, number: int) -> None:
         run = query_id(batch)
         rows = state.advance(batch, number, run)
         alerts = detect_conn(rows, detector, explain=False, quiet_us=None, only=FRESH)
-        store.add(quiet.let_through(cut_lineage(alerts), number, run), number, run)
+        store.add(quiet.let_through(cut_lineage(alerts), number, run), number, run, feed="conn", high_us=state.high_us())
 
     return start(parse_lines(stream_lines(spark, source, max_files=max_files), "conn"), each_batch, checkpoint, seconds=seconds)

@@ -108,6 +108,10 @@ class WindowState(RowState):
         rows = self._rows(self.log.latest())
         return None if rows is None else rows.withColumn(FRESH, F.col(HELD)).drop(HELD, RUN)
 
+    def high_us(self) -> int | None:
+        """Newest time seen."""
+        return self.log.latest().get("high_us")
+
     def late(self) -> int:
         return self.log.latest().get("late", 0)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import pytest
@@ -158,7 +159,7 @@ def test_a_batch_touches_its_buckets_only(spark, alerts, tmp_path):
     store.add(alerts, 0, "a")
     stamps = {r.finding_id: r.output_us for r in store.findings().collect()}
     before = store.log.latest()
-    high = before["high_us"]
+    high = before["high_us"]["alerts"]
     one = alerts.limit(1).withColumns({"ts_us": F.lit(high + 1), "alert_id": F.lit("later"), "src_ip": F.lit("10.9.9.9")})
     store.add(one, 1, "a")
     after = store.log.latest()
@@ -179,3 +180,48 @@ def test_a_batch_touches_its_buckets_only(spark, alerts, tmp_path):
 def test_an_empty_store_has_no_findings(spark, tmp_path):
     store = FindingsStore(spark, str(tmp_path / "f"), window_us=W)
     assert store.findings() is None and store.late() == 0
+
+
+def log_lines(rows, fields, path, n):
+    """Rows as tab-separated log files, oldest first."""
+    from flowlens import schema as S
+
+    text = [F.format_string("%.6f", F.col("ts_us") / 1e6) if f == "ts" else F.coalesce(F.col(S.flat(f)).cast("string"), F.lit("-")) if S.flat(f) in rows.columns else F.lit("-") for f in fields]
+    lines = [r.line for r in rows.select("ts_us", "uid", F.concat_ws("\t", *text).alias("line")).orderBy("ts_us", "uid").collect()]
+    path.mkdir()
+    step = -(-len(lines) // n)
+    for i in range(n):
+        (path / f"{i}.log").write_text("\n".join(["#fields", *lines[i * step:(i + 1) * step]]) + "\n")
+        os.utime(path / f"{i}.log", (1_700_000_000 + i, 1_700_000_000 + i))  # streams take older files first
+
+
+def test_connection_and_dns_jobs_share_a_findings_table(spark, sf_dir, tmp_path):
+    """Both jobs at once, from log lines to findings; the same as one batch over all lines."""
+    from flowlens import schema as S
+    from flowlens.plans import flows
+    from flowlens.sources.zeek import split_lines, typed
+    from flowlens.streaming.run import run_conn, run_dns
+
+    conn, dns = view(spark, sf_dir, "conn"), view(spark, sf_dir, "dns")
+    log_lines(conn, S.CONN_FIELDS, tmp_path / "conn", 2)
+    log_lines(dns, S.DNS_FIELDS, tmp_path / "dns", 3)
+    read = lambda kind: typed(split_lines(spark.read.text(str(tmp_path / kind)), kind), kind).cache()
+    conn, dns = read("conn"), read("dns")
+    flows.train_conn(conn, window_us=W, trees=8, code=4).save(spark, str(tmp_path / "conn_model"))
+    flows.train_dns(dns, trees=8, code=4).save(spark, str(tmp_path / "dns_model"))
+    conn_detector, dns_detector = (flows.Detector.load(spark, str(tmp_path / f"{k}_model")) for k in ("conn", "dns"))
+
+    quiet_us = flows.COOLDOWN_US
+    store = FindingsStore(spark, str(tmp_path / "f"), window_us=W, buckets=4, feeds=("conn", "dns"))
+    state, quiet = WindowState(spark, str(tmp_path / "s"), window_us=W), QuietState(spark, str(tmp_path / "q"), window_us=quiet_us)
+    jobs = [run_conn(spark, str(tmp_path / "conn"), store, state, quiet, str(tmp_path / "c1"), conn_detector, max_files=1),
+            run_dns(spark, str(tmp_path / "dns"), store, str(tmp_path / "c2"), dns_detector, max_files=1)]
+    for job in jobs:
+        assert job.awaitTermination(200), job.lastProgress
+        assert job.exception() is None
+    want = flows.detect_conn(conn, conn_detector, explain=False, quiet_us=quiet_us).unionByName(flows.detect_dns(dns, dns_detector, explain=False), allowMissingColumns=True)
+    want.write.parquet(str(tmp_path / "want"))  # settled: correlation reads alerts several times
+    want = spark.read.parquet(str(tmp_path / "want"))
+    assert store.late() == 0 and state.late() == 0
+    assert state_of(store.findings()) == state_of(correlate.findings(correlate.correlate(want, window_us=W)))
+    assert {s for r in store.evidence().select("source").distinct().collect() for s in r} == {"connection_engine", "dns_engine"}
