@@ -42,6 +42,33 @@ def test_malformed_and_header(spark, tmp_path):
     assert both.count() == 3 and both.filter("rcode_name is not null").count() == 1
 
 
+def test_every_file_has_its_own_layout(spark, tmp_path):
+    tab = "\t".join
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    write(folder / "a.log", ["#separator x", "#fields\tts\tuid\tquery", "1\tD1\ta.b", "1\tD1b", ""])
+    write(folder / "b.log", ["#fields\tquery\trcode_name\tuid\tts", "c.d\t-\tD2\t2"])
+    write(folder / "c.log", ["#fields\tuid\tid.orig_h\tTTLs", "D3\t10.0.0.9\t5,6"])
+    write(folder / "d.log", ["#only a comment"])
+    rows = {r["uid"]: r for r in zeek.read_dns(spark, [str(folder / "*.log")]).collect()}
+    assert set(rows) == {"D1", "D2", "D3"}
+    assert (rows["D1"]["query"], rows["D2"]["query"], rows["D2"]["ts"], rows["D2"]["rcode_name"]) == ("a.b", "c.d", "2", None)
+    assert (rows["D3"]["orig_h"], rows["D3"]["TTLs"], rows["D3"]["query"]) == ("10.0.0.9", "5,6", None)
+    mixed = tmp_path / "conn"
+    mixed.mkdir()
+    write(mixed / "a.log", [tab(CONN)])
+    write(mixed / "b.log", [tab(["2", "C2", *CONN[2:], "evil", "why"]), tab(CONN)])
+    write(mixed / "c.csv", ["ts,uid,label,detailed-label", '3,C3,"a,b",-', "4,C4,good,x"])
+    write(mixed / "d.json", [json.dumps({"ts": 5, "uid": "C5", "id.resp_p": 9, "label": "jl"}), "{broken"])
+    write(mixed / "e.log", [tab(["6", "C6", *CONN[2:], "1", "2", "3", "4"])])
+    rows = {r["uid"]: r for r in zeek.read_conn(spark, str(mixed)).collect()}
+    assert {u: r["label"] for u, r in rows.items()} == {"C1": None, "C2": "evil", "C3": "a,b", "C4": "good", "C5": "jl", "C6": "1"}
+    assert (rows["C4"]["detailed_label"], rows["C3"]["detailed_label"], rows["C5"]["resp_p"], rows["C3"]["proto"], rows["C6"]["resp_p"]) == ("x", None, "9", "unknown", "80")
+    import pytest
+    with pytest.raises(ValueError):
+        zeek.read_dns(spark, [str(folder / "d.log")])
+
+
 def test_ragged_lines(spark):
     lines = spark.createDataFrame([("1\tC1\t10.0.0.1",), ("\t".join([*CONN, "x", "y"]),), ("#c",), ("  ",)], "value string")
     rows = {r["uid"]: r for r in zeek.split_lines(lines, "conn").collect()}
