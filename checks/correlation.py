@@ -126,6 +126,20 @@ select fc.finding_id, last_us as timestamp_us, finding_type, ip as src_ip, f1.ds
 QUERIES["DED_2_cooldown"] = lambda s, d: anchored.cooldown(view(s, d, "alerts"), window_us=W).select("alert_id")
 SQL["DED_2_cooldown"] = ctes("alerts") + anchor_sql(["matched_scenario", "src_ip"], W) + """ select min(alert_id) as alert_id from alerts a join starts s on a.matched_scenario = s.matched_scenario and a.src_ip = s.src_ip and a.ts_us = s.s
  group by a.matched_scenario, a.src_ip, a.ts_us"""
+# every seventh port: alerts that have lost their time
+UNTIMED = ctes("alerts") + ", lost as (select * replace (case when dst_port % 7 > 0 then ts_us end as ts_us) from alerts), timed as (select * from lost where ts_us is not null)"
+
+
+def untimed(s, d):
+    return view(s, d, "alerts").withColumn("ts_us", F.when(F.col("dst_port") % 7 > 0, F.col("ts_us")))
+
+
+QUERIES["DED_2_cooldown_untimed"] = lambda s, d: anchored.cooldown(untimed(s, d), window_us=W).select("alert_id", "ts_us")
+SQL["DED_2_cooldown_untimed"] = UNTIMED + anchor_sql(["matched_scenario", "src_ip"], W, "timed") + """ select min(alert_id) as alert_id, a.ts_us from timed a join starts s on a.matched_scenario = s.matched_scenario and a.src_ip = s.src_ip and a.ts_us = s.s
+ group by a.matched_scenario, a.src_ip, a.ts_us union all select alert_id, null from lost where ts_us is null"""
+QUERIES["COR_1_untimed_alerts"] = lambda s, d: correlate.correlate(untimed(s, d), window_us=W).select("alert_id", "start_us", "finding_id")
+SQL["COR_1_untimed_alerts"] = UNTIMED + anchor_sql(["src_ip"], W + 1, "timed") + f""" select alert_id, s.s as start_us, concat('finding_', a.src_ip, '_', s.s // 1000000) as finding_id from timed a join starts s on a.src_ip = s.src_ip and a.ts_us between s.s and s.s + {W}
+ union all select alert_id, null, concat('finding_', src_ip) from lost where ts_us is null"""
 QUERIES["DED_3_alert_key_dedup"] = lambda s, d: correlate.first_per_alert_key(view(s, d, "alerts")).select("alert_id")
 SQL["DED_3_alert_key_dedup"] = ctes("alerts") + "select arg_min(alert_id, (ts_us, alert_id)) as alert_id from alerts group by type, src_ip, matched_scenario, detector, dst_ip, dst_port"
 

@@ -68,9 +68,14 @@ def block_outcomes(times: np.ndarray, span: int, block_start: int) -> list[tuple
 
 def anchor_windows(df: DataFrame, keys: Sequence[str], *, span_us: int, ts: str = "ts_us", out: str = "start_us", block_spans: int = BLOCK_SPANS) -> DataFrame:
     """``df`` plus the start of the anchored window of each row. A row opens a new
-    window when it is ``span_us`` or more after the start of the current one."""
+    window when it is ``span_us`` or more after the start of the current one. Rows
+    without a time or a full key are in no window: their start is null."""
     keys, block_us = list(keys), span_us * block_spans
     types = dict(df.dtypes)
+    placed = F.lit(True)
+    for c in [*keys, ts]:
+        placed = placed & F.col(c).isNotNull()
+    outside, df = df.filter(~placed).withColumn(out, F.lit(None).cast("bigint")), df.filter(placed)
     key_schema = ", ".join(f"`{k}` {types[k]}" for k in keys)
     points = df.select(*keys, F.col(ts).alias("_t"), F.expr(f"`{ts}` div {block_us}").alias("_block")).distinct()
 
@@ -101,13 +106,14 @@ def anchor_windows(df: DataFrame, keys: Sequence[str], *, span_us: int, ts: str
     segments = points.groupBy(*keys, "_block").applyInPandas(outcomes, f"{key_schema}, _block bigint, _above bigint, _up_to bigint, _last bigint")
     entries = segments.groupBy(*keys).applyInPandas(walk, f"{key_schema}, _block bigint, _free_from bigint")
     starts = points.groupBy(*keys, "_block").cogroup(entries.groupBy(*keys, "_block")).applyInPandas(replay, f"{key_schema}, _t bigint, {out} bigint")
-    return df.join(starts.withColumnRenamed("_t", ts), [*keys, ts])
+    timed = df.join(starts.withColumnRenamed("_t", ts), [*keys, ts])
+    return timed.unionByName(outside)
 
 
 def cooldown(alerts: DataFrame, *, keys: Sequence[str] = ("matched_scenario", "src_ip"), window_us: int, tie: str = "alert_id") -> DataFrame:
     """One alert per key, then silence until ``window_us`` after the last one that
-    was let through. Alerts without a full key are always let through."""
-    complete = F.lit(True)
+    was let through. Alerts without a full key or a time are always let through."""
+    complete = F.col("ts_us").isNotNull()
     for k in keys:
         complete = complete & F.col(k).isNotNull() & (F.col(k) != "")
     complete = F.coalesce(complete, F.lit(False))

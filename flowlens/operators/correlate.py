@@ -35,6 +35,7 @@ def finding_id(ip: Column, start_us: Column) -> Column:
 
 def correlate(alerts: DataFrame, *, window_us: int, open_findings: DataFrame | None = None) -> DataFrame:
     """Alerts with ``start_us`` and ``finding_id``; alerts without a source drop out.
+    Those of a source without a time are one finding of their own, without a start.
 
     ``open_findings`` (ip, start_us) come from an earlier batch, one per source:
     alerts still inside such a window join it, later ones open new windows.
@@ -46,7 +47,7 @@ def correlate(alerts: DataFrame, *, window_us: int, open_findings: DataFrame | N
     else:
         latest = open_findings.groupBy(F.col("ip").alias("src_ip")).agg(F.max("start_us").alias("_open"))
         joined = known.join(latest, "src_ip", "left")
-        inside = F.col("ts_us") <= F.col("_open") + window_us
+        inside = F.coalesce(F.col("ts_us") <= F.col("_open") + window_us, F.lit(False))
         kept = joined.filter(inside).withColumn("start_us", F.col("_open")).drop("_open")
         fresh = anchor_windows(joined.filter(F.col("_open").isNull() | ~inside).drop("_open"), ["src_ip"], span_us=window_us + 1)
         placed = kept.unionByName(fresh)

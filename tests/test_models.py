@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from flowlens.models.autoencoder import Autoencoder, gradient, load_reconstruction
 from flowlens.models.forest import IsolationForest, IsolationForestModel, average_path, draw_samples
 from flowlens.models.importance import dealt, permutation_importance
 from flowlens.models.recon import Reconstruction
@@ -84,6 +85,32 @@ def test_full_width_reconstruction_is_exact(cloud):
     assert Reconstruction(1).fit(cloud).transform(cloud).agg(F.avg("ae_error")).first()[0] > 0.1
 
 
+def test_gradient_equals_differences():
+    rng = np.random.default_rng(3)
+    x, sizes = rng.normal(size=(7, 3)), [3, 4, 2, 3]
+    weights = rng.normal(size=sum((a + 1) * b for a, b in zip(sizes[:-1], sizes[1:])))
+    for kind in ("tanh", "relu"):
+        _, grad = gradient(x, weights, sizes, kind)
+        for i in range(0, len(weights), 5):
+            step = np.zeros_like(weights)
+            step[i] = 1e-6
+            near = (gradient(x, weights + step, sizes, kind)[0] - gradient(x, weights - step, sizes, kind)[0]) / 2e-6
+            assert grad[i] == pytest.approx(near, rel=1e-4, abs=1e-6)
+
+
+def test_autoencoder_follows_a_curve(spark, tmp_path):
+    t = np.random.default_rng(5).uniform(-1.5, 1.5, 600)
+    curve = spark.createDataFrame([(i, [float(a), float(a * a), float(np.sin(2 * a))]) for i, a in enumerate(t)], "id int, x array<double>")
+    mean_error = lambda model: model.transform(curve).agg(F.avg("ae_error")).first()[0]
+    model = Autoencoder((8, 1, 8), activation="tanh", iterations=60).fit(curve.repartition(6))
+    assert mean_error(model) < 0.3 * mean_error(Reconstruction(1).fit(curve))
+    model.save(spark, str(tmp_path / "ae"))
+    again = load_reconstruction(spark, str(tmp_path / "ae"))
+    assert again.transform(curve).select("id", "ae_error").exceptAll(model.transform(curve).select("id", "ae_error")).count() == 0
+    with pytest.raises(ValueError):
+        Autoencoder((2,)).fit(curve.filter("false"))
+
+
 def test_error_attribution_shares(spark):
     df = spark.createDataFrame([([1.0, 5.0, 0.0], [1.0, 2.0, 1.0])], "x array<double>, r array<double>")
     top = error_attribution(df, "x", "r", top_n=2).first()["top_features"]
