@@ -37,16 +37,16 @@ def _by_score(df: DataFrame, y: str, score: str) -> DataFrame:
     return df.groupBy(F.col(score).cast("double").alias("score")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
 
 
-def roc_auc(df: DataFrame, y: str, score: str, *, buckets: int = 64) -> DataFrame:
+def roc_auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """Probability that an attack outscores a normal row, ties counting half."""
-    steps = ordered_totals(_by_score(df, y, score), "score", ["neg"], buckets=buckets)
+    steps = ordered_totals(_by_score(df, y, score), "score", ["neg"])
     won = F.sum((F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)).cast("double"))
     return steps.agg((won / (F.sum("pos").cast("double") * F.sum("neg").cast("double"))).alias("roc_auc"))
 
 
-def pr_auc(df: DataFrame, y: str, score: str, *, buckets: int = 64) -> DataFrame:
+def pr_auc(df: DataFrame, y: str, score: str) -> DataFrame:
     """Trapezoids under precision over recall, from (recall 0, precision 1)."""
-    steps = ordered_totals(_by_score(df, y, score), "score", ["pos", "neg"], buckets=buckets, descending=True)
+    steps = ordered_totals(_by_score(df, y, score), "score", ["pos", "neg"], descending=True)
     c = F.col
     had, have = c("before_pos").cast("double"), (c("before_pos") + c("pos")).cast("double")
     before = F.when(had + c("before_neg") > 0, had / (had + c("before_neg"))).otherwise(1.0)

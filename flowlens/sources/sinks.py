@@ -49,12 +49,10 @@ def with_alert_date(alerts: DataFrame, version: str = "1.0") -> DataFrame:
     return alerts.withColumns({"alert_date": F.to_date(F.timestamp_micros("ts_us")), "version": F.lit(version)})
 
 
-def append_daily(alerts: DataFrame, path: str) -> None:
-    """Alerts as JSON lines, one folder per day. Rows are spread by day and a
-    salt, so that a busy day is written by many tasks."""
-    dated = with_alert_date(alerts)
-    salt = F.pmod(F.xxhash64("alert_id"), F.lit(8))
-    dated.repartition(F.col("alert_date"), salt).write.mode("append").partitionBy("alert_date").json(path)
+def append_daily(alerts: DataFrame, path: str, batch: str) -> None:
+    """Alerts as JSON lines, one folder per batch and day. A batch that is written
+    again replaces what it wrote. Large days are split among tasks."""
+    with_alert_date(alerts).hint("rebalance", "alert_date").write.mode("overwrite").partitionBy("alert_date").json(f"{path}/batch={batch}")
 
 
 def feedback_rows(alerts: DataFrame, verdict: Column) -> DataFrame:
@@ -62,8 +60,9 @@ def feedback_rows(alerts: DataFrame, verdict: Column) -> DataFrame:
     return alerts.withColumn("feedback", verdict).filter(F.col("feedback").isin("TP", "FP"))
 
 
-def append_feedback(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").json(path)
+def append_feedback(rows: DataFrame, path: str, batch: str) -> None:
+    """One folder per batch, replaced when it is written again."""
+    rows.write.mode("overwrite").json(f"{path}/batch={batch}")
 
 
 def export_counts(findings: DataFrame) -> DataFrame:
