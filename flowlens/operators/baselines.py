@@ -13,6 +13,7 @@ from flowlens.functions.conn import failed_connection
 from flowlens.operators.groups import group_features, measures
 from flowlens.operators.profiles import join_null_safe
 from flowlens.operators.sliding import Group, previous_time, sample_std, square
+from flowlens.session import cut_lineage
 
 BEACON = ["orig_h", "resp_h", "resp_p", "proto"]
 HORIZONTAL = ["orig_h", "resp_p"]
@@ -81,25 +82,31 @@ def ddos_fit(df: DataFrame) -> DataFrame:
     return df.groupBy(*DDOS).agg(F.countDistinct("orig_h").alias("ddos_group_unique_src_ip_count"))
 
 
-def _median(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Exact median; the counts are tallied first, so the buffer holds one entry
-    per distinct count."""
-    tally = df.groupBy(column).agg(F.count("*").alias("_times"))
-    return tally.agg(F.percentile(F.col(column), 0.5, F.col("_times")).alias("value")).select(F.lit(name).alias("name"), "value")
-
-
 def _tall(df: DataFrame, values: Mapping[str, Column]) -> DataFrame:
     row = df.agg(*[v.alias(k) for k, v in values.items()])
     return row.unpivot([], list(values), "name", "value")
 
 
 def env_fit(df: DataFrame) -> DataFrame:
-    """Baselines of the whole environment as (name, value) rows."""
+    """Baselines of the whole environment as (name, value) rows.
+
+    Three passes over the rows: totals, time steps, and one pre-aggregate by beacon
+    group, which the host and port groups roll up from. Exact medians keep one entry
+    per distinct count."""
     def std(column: str) -> Column:
         s = F.stddev_samp(column)
         return F.when(s > 0, s).otherwise(1.0)
 
-    beacons, horizontals, verticals, targets = beacon_fit(df), horizontal_fit(df), vertical_fit(df), ddos_fit(df)
+    failed = failed_connection()
+    beacons = cut_lineage(df.groupBy(*BEACON).agg(F.count("*").alias("n"), F.sum(failed).alias("failed"), F.count(failed).alias("known")))
+
+    def rolled(keys: list[str], counted: str) -> DataFrame:
+        return beacons.groupBy(*keys).agg(F.countDistinct(counted).alias("n"), (F.sum("failed") / F.sum("known")).alias("ratio"))
+
+    def counts(name: str, ratio: str | None = None) -> dict[str, Column]:
+        out = {f"std_{name}": std("n"), f"median_{name}": F.percentile("n", 0.5)}
+        return out | ({f"std_{ratio}": std("ratio")} if ratio else {})
+
     step_std = F.coalesce(F.stddev_samp(F.col("step") / 1e6), F.lit(0.0))
     parts = [
         _tall(df, {
@@ -111,16 +118,10 @@ def env_fit(df: DataFrame) -> DataFrame:
             "beacon_channel_timediff_std_mean": F.when(step_std > 0, step_std).otherwise(ENV_DEFAULTS["beacon_channel_timediff_std_mean"]),
             "beacon_channel_timediff_std_std": F.when(step_std > 0, step_std * 0.5).otherwise(ENV_DEFAULTS["beacon_channel_timediff_std_std"]),
         }),
-        _tall(horizontals, {"std_horizontal_unique_dst_ip_count": std("horizontal_scan_unique_dst_ip_count"),
-                            "std_horizontal_problematic_ratio": std("horizontal_scan_problematic_ratio")}),
-        _tall(verticals, {"std_vertical_unique_dst_port_count": std("vertical_scan_unique_dst_port_count"),
-                          "std_vertical_problematic_ratio": std("vertical_scan_problematic_ratio")}),
-        _tall(beacons, {"std_beacon_group_count": std("beacon_group_count")}),
-        _tall(targets, {"std_ddos_unique_src_ip_count": std("ddos_group_unique_src_ip_count")}),
-        _median(horizontals, "horizontal_scan_unique_dst_ip_count", "median_horizontal_unique_dst_ip_count"),
-        _median(verticals, "vertical_scan_unique_dst_port_count", "median_vertical_unique_dst_port_count"),
-        _median(beacons, "beacon_group_count", "median_beacon_group_count"),
-        _median(targets, "ddos_group_unique_src_ip_count", "median_ddos_unique_src_ip_count"),
+        _tall(rolled(HORIZONTAL, "resp_h"), counts("horizontal_unique_dst_ip_count", "horizontal_problematic_ratio")),
+        _tall(rolled(VERTICAL, "resp_p"), counts("vertical_unique_dst_port_count", "vertical_problematic_ratio")),
+        _tall(beacons, counts("beacon_group_count")),
+        _tall(rolled(DDOS, "orig_h"), counts("ddos_unique_src_ip_count")),
     ]
     out = parts[0]
     for p in parts[1:]:
