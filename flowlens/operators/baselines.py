@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Mapping
 
 from pyspark.ml import Estimator, Model
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.functions.conn import failed_connection
+from flowlens.models.stages import Stage, read_json, write_json
 from flowlens.operators.groups import group_features, measures
 from flowlens.operators.profiles import join_null_safe
 from flowlens.operators.sliding import Group, previous_time, sample_std, square
@@ -212,7 +212,7 @@ def with_entity(df: DataFrame, entity: DataFrame) -> DataFrame:
     return df.join(renamed, "orig_h", "left")
 
 
-class GroupBaselineModel(Model):
+class GroupBaselineModel(Stage, Model):
     """Fitted baselines: ``env`` (about twenty numbers) and ``entity`` (a table)."""
 
     def __init__(self, env: Mapping[str, float], entity: DataFrame, window_us: int, min_samples: int = 3, ready: bool = True):
@@ -234,19 +234,18 @@ class GroupBaselineModel(Model):
         from flowlens.operators.groups import RAW
         return [*RAW, *Z_COLUMNS]
 
-    def save(self, path: str) -> None:
-        spark = self.entity.sparkSession
+    def write_data(self, spark: SparkSession, path: str) -> None:
         settings = {"env": self.env, "window_us": self.window_us, "min_samples": self.min_samples, "ready": self.ready}
-        spark.createDataFrame([(json.dumps(settings),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/settings")
+        write_json(spark, settings, f"{path}/settings")
         self.entity.write.mode("overwrite").parquet(f"{path}/entity")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> "GroupBaselineModel":
-        s = json.loads(spark.read.text(f"{path}/settings").first()[0])
+    def read_data(cls, spark: SparkSession, path: str) -> GroupBaselineModel:
+        s = read_json(spark, f"{path}/settings")
         return cls(s["env"], spark.read.parquet(f"{path}/entity"), s["window_us"], s["min_samples"], s["ready"])
 
 
-class GroupBaseline(Estimator):
+class GroupBaseline(Stage, Estimator):
     """Learns environment and entity baselines from typed connections."""
 
     def __init__(self, window_us: int, min_samples: int = 3, manual: Mapping[str, float] | None = None, *,

@@ -26,8 +26,8 @@ def test_forest_ranks_planted_outliers_first(cloud, tmp_path, spark):
     assert set(range(5)) <= {r["id"] for r in scored.limit(10).collect()}
     again = IsolationForest(trees=60, contamination=0.02).fit(cloud.repartition(7))
     assert again.nodes.equals(model.nodes)
-    model.save(spark, str(tmp_path / "m"))
-    loaded = IsolationForestModel.load(spark, str(tmp_path / "m"))
+    model.save(str(tmp_path / "m"))
+    loaded = IsolationForestModel.load(str(tmp_path / "m"))
     assert loaded.transform(cloud).orderBy("id").first()["isof_score"] == pytest.approx(model.transform(cloud).orderBy("id").first()["isof_score"])
     top = model.attribute(cloud.filter("id < 5"), list("abcd")).select(F.expr("top_features[0].feature"), F.expr("top_features[0].direction")).distinct().collect()
     assert [tuple(r) for r in top] == [("c", "anomaly")]
@@ -104,7 +104,7 @@ def test_autoencoder_follows_a_curve(spark, tmp_path):
     mean_error = lambda model: model.transform(curve).agg(F.avg("ae_error")).first()[0]
     model = Autoencoder((8, 1, 8), activation="tanh", iterations=60).fit(curve.repartition(6))
     assert mean_error(model) < 0.3 * mean_error(Reconstruction(1).fit(curve))
-    model.save(spark, str(tmp_path / "ae"))
+    model.save(str(tmp_path / "ae"))
     again = load_reconstruction(spark, str(tmp_path / "ae"))
     assert again.transform(curve).select("id", "ae_error").exceptAll(model.transform(curve).select("id", "ae_error")).count() == 0
     with pytest.raises(ValueError):
