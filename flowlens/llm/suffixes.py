@@ -6,10 +6,10 @@ of a smaller doc_id. Strings are compared by their bytes.
 Which suffixes meet. In every ``length``-byte window the smallest hash of its
 ``GRAM``-byte strings (the first of equal ones) is its anchor, so equal windows have
 equal anchors at equal places. An anchor and the stretch of bytes that its windows
-cover are a context. Contexts are dealt by anchor string; of equal contexts the
-smallest doc_id keeps its windows and the others lose them. Only anchors with several
-different contexts need their suffixes sorted: one context of each kind, found again
-in its document.
+cover are a context. Contexts are dealt by anchor; of equal contexts (equal 64-bit
+hashes of anchor and context) the smallest doc_id keeps its windows and the others lose
+them. Only anchors with several different contexts need their suffixes sorted, by their
+bytes: one context of each kind, found again in its document.
 
 Sorting. The window-long suffixes of those contexts are ordered by multikey quicksort
 over eight-byte words to a shallow depth; groups with a longer common prefix are
@@ -19,7 +19,8 @@ but those of the smallest doc_id go.
 
 Work per document, task and group is bounded: a context has at most ``length`` bytes
 on either side of its anchor; an anchor with more than ``HOT`` kinds of context is
-dealt by the words its windows begin with instead. Texts travel compressed.
+dealt window by window, by the hash of all bytes, and such a deal is judged in parts.
+Texts travel compressed and are hashed many at a time.
 
 Null or empty text: no bytes. Null doc_id: neither smaller nor larger than others,
 kept whole. Rows of one doc_id never remove from each other; repeated rows get the
@@ -30,10 +31,12 @@ columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from flowlens.llm.common import packed, settle, table
 from pyspark.sql import DataFrame, SparkSession
@@ -45,8 +48,12 @@ GRAM = 20
 SHALLOW_WORDS = 3
 #: Kinds of context above which an anchor's windows are dealt singly.
 HOT = 20_000
-#: Bytes of text hashed at once.
-SLICE = 2_000_000
+#: Rows of one deal that a task holds before it drops those that can tell nothing more.
+HELD_ROWS = 2 * HOT
+#: Bytes of text hashed at once: the arrays of one slice stay in the processor's cache.
+SLICE = 200_000
+#: The upper half of a hash orders anchors; the place takes the lower half.
+HIGH, LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 MIX = tuple(np.uint64(x) for x in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 STEPS = tuple(np.uint64(pow(0x9E3779B97F4A7C15, i, 1 << 64) | 1) for i in range(1, 9))
 
@@ -62,7 +69,7 @@ BYTES = mix(np.arange(256, dtype=np.uint64) + np.uint64(77))
 
 
 def rolling(data: np.ndarray, *widths: int) -> list[np.ndarray]:
-    """For each width, the hash of so many bytes at every place; blocks of doubled size are shared."""
+    """For each width, the unmixed hash of so many bytes at every place; blocks of doubled size are shared."""
     block, size, step, have = BYTES[data], 1, 0, {w: (None, 0) for w in widths}
     while True:
         for w, (value, done) in have.items():
@@ -70,41 +77,54 @@ def rolling(data: np.ndarray, *widths: int) -> list[np.ndarray]:
                 n = len(data) - done - size + 1
                 have[w] = (block if value is None else value[:n] * STEPS[7] + block[done:done + n], done + size)
         if size * 2 > max(widths):
-            return [mix(have[w][0]) for w in widths]
+            return [have[w][0] for w in widths]
         block, step = block[:-size] * STEPS[step] + block[size:], step + 1
         size *= 2
 
 
 def first_smallest(values: np.ndarray, width: int) -> np.ndarray:
-    """Place of the first smallest value among the ``width`` from every place."""
-    low, at, size = values, np.arange(len(values), dtype=np.int32), 1
+    """Place of the first smallest value (by its upper half) among the ``width`` from every place."""
+    low, size = (values & HIGH) | np.arange(len(values), dtype=np.uint64), 1
     while size < width:
         shift = min(size, width - size)
-        n = len(low) - shift
-        right = low[shift:] < low[:n]
-        low, at = np.where(right, low[shift:], low[:n]), np.where(right, at[shift:], at[:n])
+        low = np.minimum(low[:-shift], low[shift:])
         size += shift
-    return at
+    return (low & LOW).astype(np.int64)
 
 
-def contexts(data: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """(anchor hash, context hash, first window, last window) of every context, in order of place.
+class Contexts(NamedTuple):
+    """The contexts of joined texts, in order of place."""
 
-    ``owner`` numbers the document of each byte; windows lie inside one document.
-    """
-    none = np.empty(0, np.uint64)
+    anchor: np.ndarray  #: hash of the anchor string
+    context: np.ndarray  #: hash of all bytes, and where the anchor lies in them
+    first: np.ndarray  #: place of the first window
+    last: np.ndarray  #: place of the last window
+    window: np.ndarray  #: unmixed hash of the window at every place
+
+
+def contexts(data: np.ndarray, owner: np.ndarray, length: int) -> Contexts:
+    """``owner`` numbers the document of each byte; windows lie inside one document."""
     if len(data) < length:
-        return none, none, none.astype(np.int64), none.astype(np.int64)
-    anchors, whole = rolling(data, GRAM, length)
+        none = np.empty(0, np.int64)
+        return Contexts(none, none, none, none, none.astype(np.uint64))
+    grams, whole = rolling(data, GRAM, length)
+    anchors = mix(grams)
     at = first_smallest(anchors, length - GRAM + 1)
-    windows = np.flatnonzero(owner[:len(data) - length + 1] == owner[length - 1:])
-    if not len(windows):
-        return none, none, none.astype(np.int64), none.astype(np.int64)
-    mine = at[windows]
-    new = np.flatnonzero(np.concatenate([[True], (mine[1:] != mine[:-1]) | (owner[windows[1:]] != owner[windows[:-1]])]))
-    first, last, anchor = windows[new], windows[np.concatenate([new[1:] - 1, [len(windows) - 1]])], mine[new]
-    inside = (anchor - first).astype(np.uint64) << np.uint64(16) | (last - first).astype(np.uint64)
-    return anchors[anchor], mix(whole[first] * STEPS[1] + mix(whole[last] * STEPS[2] + inside)), first, last
+    inside = owner[:len(data) - length + 1] == owner[length - 1:]
+    # neighbouring windows that both lie inside a document lie inside the same one
+    goes_on = (at[1:] == at[:-1]) & inside[1:] & inside[:-1]
+    first = np.flatnonzero(inside & ~np.concatenate([[False], goes_on]))
+    last = np.flatnonzero(inside & ~np.concatenate([goes_on, [False]]))
+    anchor = at[first]
+    shape = (anchor - first).astype(np.uint64) << np.uint64(16) | (last - first).astype(np.uint64)
+    context = mix(mix(whole[first]) * STEPS[1] + mix(mix(whole[last]) * STEPS[2] + shape))
+    return Contexts(anchors[anchor].view(np.int64), context.view(np.int64), first, last, whole)
+
+
+def steps(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, number within i) for every i repeated ``counts[i]`` times."""
+    of = np.repeat(np.arange(len(counts)), counts)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 def shallow_sort(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,20 +195,23 @@ def deep_shallow(suffixes: np.ndarray, words: int = SHALLOW_WORDS) -> tuple[np.n
 
     ``suffixes`` has the bytes of one suffix a row.
     """
-    padded = np.zeros((len(suffixes), words * 8), np.uint8)
-    padded[:, :min(words * 8, suffixes.shape[1])] = suffixes[:, :words * 8]
-    order, group = shallow_sort(padded.view(">u8").astype(np.uint64))
-    first = order[np.searchsorted(group, np.arange(group[-1] + 1))]
-    differs = np.zeros(len(order), bool)
+    padded = np.zeros((len(suffixes), -(-suffixes.shape[1] // 8) * 8), np.uint8)
+    padded[:, :suffixes.shape[1]] = suffixes
+    keys = padded.view(">u8").astype(np.uint64)
+    order, group = shallow_sort(keys[:, :words])
     tied = np.flatnonzero(np.bincount(group)[group] > 1)
-    differs[tied] = (suffixes[order[tied]] != suffixes[first[group[tied]]]).any(axis=1)
+    first = order[np.searchsorted(group, group[tied])]
+    differs = np.zeros(len(tied), bool)
+    for word in range(words, keys.shape[1]):
+        differs |= keys[order[tied], word] != keys[first, word]
     # groups that go on differing below the shallow depth are left to blind tries
     split = np.zeros(len(order), bool)
-    for g in np.unique(group[differs]).tolist():
-        lo, hi = np.searchsorted(group, g), np.searchsorted(group, g + 1)
+    deep = np.unique(group[tied[differs]])
+    for lo, hi in zip(np.searchsorted(group, deep).tolist(), np.searchsorted(group, deep, "right").tolist(), strict=True):
+        rows = order[lo:hi].tolist()
         same: dict[bytes, list[int]] = {}
-        for row, text in zip(order[lo:hi].tolist(), map(bytes, suffixes[order[lo:hi]]), strict=True):
-            same.setdefault(text, []).append(row)
+        for row in rows:
+            same.setdefault(padded[row].tobytes(), []).append(row)
         texts = iter(same)
         trie = BlindTrie(next(texts))
         for text in texts:
@@ -201,15 +224,17 @@ def deep_shallow(suffixes: np.ndarray, words: int = SHALLOW_WORDS) -> tuple[np.n
     return order, starts_to_groups((group[1:] != group[:-1]) | split[1:])
 
 
-def slices(texts: list[bytes], limit: int = SLICE) -> Iterator[tuple[int, list[bytes]]]:
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        if i > start and size + len(text) > limit:
-            yield start, texts[start:i]
-            start, size = i, 0
+def slices(texts: Iterable[bytes], limit: int | None = None) -> Iterator[tuple[int, list[bytes]]]:
+    """(number of the first text, texts) of about ``limit`` bytes together."""
+    start, size, some = 0, 0, []
+    for text in texts:
+        if some and size + len(text) > (limit or SLICE):
+            yield start, some
+            start, size, some = start + len(some), 0, []
+        some.append(text)
         size += len(text)
-    if start < len(texts):
-        yield start, texts[start:]
+    if some:
+        yield start, some
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -223,18 +248,34 @@ def context_rows(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
-            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column("text")]
+            texts = ((t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column("text"))
             for start, some in slices(texts):
                 data, owner = joined(some)
-                anchor, context, first, _ = contexts(data, owner, length)
-                who = owner[first]
-                order = np.lexsort((context, who))
-                keep = order[np.concatenate([[True], (context[order][1:] != context[order][:-1]) | (who[order][1:] != who[order][:-1])])] if len(order) else order
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[keep].astype(np.int64)), pa.array(context[keep].astype(np.int64)), ids.take(pa.array(who[keep] + start))], names=["anchor", "context", "doc_id"])
+                found = contexts(data, owner, length)
+                who = owner[found.first]
+                _, keep = np.unique(row_keys(found.context, who), return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.anchor[keep]), pa.array(found.context[keep]), ids.take(pa.array(who[keep] + start))], names=["anchor", "context", "doc_id"])
 
     return docs.filter("doc_id is not null").select("doc_id", "text").mapInArrow(run, f"anchor long, context long, doc_id {kind}")
 
 
+def row_keys(context: np.ndarray, who: np.ndarray) -> np.ndarray:
+    """One hash for a context of a document of the slice."""
+    return context.view(np.uint64) + mix(who.astype(np.uint64) + np.uint64(1))
+
+
+def flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each item, items) of a column of lists without nulls among the items."""
+    return pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists).to_numpy()
+
+
+def cut_out(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The stretches of ``data`` as a binary column."""
+    of, number = steps(size)
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(data[begin[of] + number])])
+
+
 def met(rows: DataFrame) -> DataFrame:
     """(anchor, context, doc_id, lost): contexts that a smaller doc_id has (lost), and first ones of anchors with several kinds.
 
@@ -276,7 +317,10 @@ def met(rows: DataFrame) -> DataFrame:
 
 
 def windows_to_sort(bodies: DataFrame, asked: DataFrame, length: int) -> DataFrame:
-    """(deal, doc_id, context, first, body): asked contexts with their bytes; first is the number of body's first window in the context."""
+    """(deal, doc_id, context, first, body): asked contexts with their bytes; first is the number of body's first window in the context.
+
+    Windows of hot anchors come one by one, dealt by the hash of all their bytes.
+    """
     kind = bodies.schema["doc_id"].dataType.simpleString()
     hot = asked.groupBy("anchor").count().filter(F.col("count") > HOT).select(F.col("anchor").alias("h"))
     marked = asked.join(hot, F.col("anchor") == F.col("h"), "left")
@@ -286,95 +330,105 @@ def windows_to_sort(bodies: DataFrame, asked: DataFrame, length: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            out = []
-            for doc, body, whole, single in zip(batch.column("doc_id").to_pylist(), *(batch.column(c) for c in ("body", "whole", "single")), strict=True):
-                text = unpack(body.as_py())
-                anchor, context, first, last = contexts(*joined([text]), length)
-                context = context.astype(np.int64)
-                kinds, place = np.unique(context, return_index=True)
-                for i in place[np.isin(kinds, whole.values.to_numpy())].tolist():
-                    out.append((int(anchor[i].astype(np.int64)), doc, int(context[i]), 0, text[first[i]:last[i] + length]))
-                for i in place[np.isin(kinds, single.values.to_numpy())].tolist():
-                    for w in range(first[i], last[i] + 1):
-                        head = int.from_bytes(hashlib.blake2b(text[w:w + 32], digest_size=8).digest(), "little", signed=True)
-                        out.append((int(anchor[i].astype(np.int64)) ^ head, doc, int(context[i]), int(w - first[i]), text[w:w + length]))
-            cols = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], batch.schema.field("doc_id").type), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()), pa.array(cols[4], pa.binary())],
-                                             names=["deal", "doc_id", "context", "first", "body"])
+            ids = batch.column("doc_id")
+            for start, some in slices(unpack(b.as_py()) for b in batch.column("body")):
+                data, owner = joined(some)
+                found = contexts(data, owner, length)
+                who = owner[found.first]
+                keys, place = np.unique(row_keys(found.context, who), return_index=True)
+
+                def places(name):
+                    of, items = flat(batch.column(name).slice(start, len(some)))
+                    return place[np.isin(keys, row_keys(items, of))]
+
+                whole, single = places("whole"), places("single")
+                of, number = steps((found.last - found.first + 1)[single])
+                at = found.first[single][of] + number
+                rows = np.concatenate([whole, single[of]])
+                begin = np.concatenate([found.first[whole], at])
+                size = np.concatenate([(found.last - found.first)[whole] + length, np.full(len(at), length)])
+                deal = np.concatenate([found.anchor[whole], found.anchor[single[of]] ^ mix(found.window[at]).view(np.int64)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(deal), ids.take(pa.array(who[rows] + start)), pa.array(found.context[rows]), pa.array(np.concatenate([np.zeros(len(whole), np.int32), number.astype(np.int32)])), cut_out(data, begin, size)],
+                    names=["deal", "doc_id", "context", "first", "body"])
 
     return both.mapInArrow(run, f"deal long, doc_id {kind}, context long, first int, body binary")
 
 
-def sorted_losses(rows: DataFrame, length: int) -> DataFrame:
-    """(doc_id, context, mask): bit i is set if window i of the context also starts in a smaller doc_id."""
+def judge(rows: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(masks of lost windows, whether all windows are lost) of rows of whole deals. Equal windows have one anchor, so they are of one deal."""
+    body = rows.column("body").combine_chunks().cast(pa.large_binary())
+    ends = np.frombuffer(body.buffers()[1], np.int64)[body.offset:body.offset + len(body) + 1]
+    data, count = np.frombuffer(body.buffers()[2], np.uint8), np.diff(ends) - length + 1
+    owner, number = steps(count)
+    order, run_of = deep_shallow(np.lib.stride_tricks.sliding_window_view(data, length)[ends[owner] + number])
+    doc = rows.column("doc_id").to_numpy()[owner[order]]
+    low = np.minimum.reduceat(doc, np.searchsorted(run_of, np.arange(run_of[-1] + 1)))
+    gone = order[doc > low[run_of]]
+    masks, n_gone = np.zeros(len(count), np.int64), np.bincount(owner[gone], minlength=len(count))
+    np.bitwise_or.at(masks, owner[gone], np.int64(1) << (number[gone] + rows.column("first").to_numpy()[owner[gone]]))
+    return masks, n_gone == count
+
+
+def sorted_losses(rows: DataFrame, length: int, held_rows: int = HELD_ROWS) -> DataFrame:
+    """(doc_id, context, mask): bit i is set if window i of the context also starts in a smaller doc_id.
+
+    A deal that outgrows ``held_rows`` is judged in parts: rows that have lost all
+    windows can tell later ones nothing, as equal windows of a smaller doc_id stay.
+    """
     kind = rows.schema["doc_id"].dataType.simpleString()
     ready = rows.repartition("deal").sortWithinPartitions("deal")
 
-    def judge(_, docs, ctx, first, bodies):
-        """Equal windows have one anchor, so they are of one deal."""
-        size = np.array(list(map(len, bodies)))
-        data, count, begin = np.frombuffer(b"".join(bodies), np.uint8), size - length + 1, np.cumsum(size) - size
-        owner = np.repeat(np.arange(len(bodies)), count)
-        number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        at = begin[owner] + number
-        order, run_of = deep_shallow(np.lib.stride_tricks.sliding_window_view(data, length)[at])
-        doc = np.array(docs)[owner[order]]
-        low = np.minimum.reduceat(doc, np.searchsorted(run_of, np.arange(run_of[-1] + 1)))
-        gone = order[doc > low[run_of]]
-        masks = np.zeros(len(bodies), np.int64)
-        np.bitwise_or.at(masks, owner[gone], np.int64(1) << (number[gone] + np.array(first)[owner[gone]]))
-        return {(docs[i], ctx[i], first[i]): int(masks[i]) for i in np.flatnonzero(masks).tolist()}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field, held = None, []
+        held, room = None, held_rows
 
-        def done(some):
-            masks = judge(*zip(*some, strict=True)) if some else {}
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in masks], field), pa.array([k[1] for k in masks], pa.int64()), pa.array(list(masks.values()), pa.int64())], names=["doc_id", "context", "mask"])
+        def told(some: pa.Table, masks: np.ndarray) -> Iterator[pa.RecordBatch]:
+            lost = np.flatnonzero(masks)
+            out = some.select(["doc_id", "context"]).take(pa.array(lost)).append_column("mask", pa.array(masks[lost]))
+            return iter(out.combine_chunks().to_batches())
 
         for batch in batches:
-            field = batch.schema.field("doc_id").type
-            held += zip(*(batch.column(c).to_pylist() for c in ("deal", "doc_id", "context", "first", "body")), strict=True)
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, new]) if held is not None else new
             # whole deals only; the last one may go on in the next batch
-            cut = len(held)
-            while cut and held[cut - 1][0] == held[-1][0]:
-                cut -= 1
-            for i in split_at(held, cut):
-                yield done(held[i[0]:i[1]])
-            held = held[cut:]
-        if field is not None:
-            yield done(held)
+            deals = held.column("deal").to_numpy()
+            cut = int(np.searchsorted(deals, deals[-1]))
+            if cut:
+                some = held.slice(0, cut)
+                yield from told(some, judge(some, length)[0])
+                held, room = held.slice(cut), held_rows
+            if held.num_rows > room:
+                masks, all_lost = judge(held, length)
+                yield from told(held, masks)
+                held = held.take(pa.array(np.flatnonzero(~all_lost)))
+                room = max(held_rows, 2 * held.num_rows)
+        if held is not None:
+            yield from told(held, judge(held, length)[0])
 
     return ready.mapInArrow(run, f"doc_id {kind}, context long, mask long")
 
 
-def split_at(rows: list, cut: int, limit: int = 4000) -> Iterator[tuple[int, int]]:
-    """Ranges of about ``limit`` rows that break only between deals."""
-    start = 0
-    while start < cut:
-        end = min(start + limit, cut)
-        while end < cut and rows[end][0] == rows[end - 1][0]:
-            end += 1
-        yield start, end
-        start = end
-
-
-def covered(text: bytes, lost: np.ndarray, masks: np.ndarray, length: int) -> np.ndarray:
-    """Which bytes go, from the masks of the lost windows of contexts (-1: all windows)."""
-    _, context, first, last = contexts(*joined([text]), length)
-    by = np.argsort(lost, kind="stable")
-    lost, start = np.unique(lost[by], return_index=True)
+def covered(data: np.ndarray, owner: np.ndarray, of: np.ndarray, lost: np.ndarray, masks: np.ndarray, length: int) -> np.ndarray:
+    """Which bytes of joined texts go, from the masks of the lost windows (-1: all) of contexts of text ``of``."""
+    if not len(lost):
+        return np.zeros(len(data), bool)
+    found = contexts(data, owner, length)
+    keys = row_keys(lost, of)
+    by = np.argsort(keys)
+    keys, start = np.unique(keys[by], return_index=True)
     masks = np.bitwise_or.reduceat(masks[by], start)
-    at = np.minimum(np.searchsorted(lost, context.astype(np.int64)), len(lost) - 1)
-    mask = np.where(lost[at] == context.astype(np.int64), masks[at], 0)
-    edge, whole = np.zeros(len(text) + 1, np.int64), mask == -1
-    np.add.at(edge, first[whole], 1)
-    np.add.at(edge, last[whole] + length, -1)
-    for i in np.flatnonzero(~whole & (mask != 0)).tolist():
-        for w in range(first[i], last[i] + 1):
-            if mask[i] >> (w - first[i]) & 1:
-                edge[w] += 1
-                edge[w + length] -= 1
+    asked = row_keys(found.context, owner[found.first])
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    mask = np.where(keys[at] == asked, masks[at], 0)
+    edge, whole, some = np.zeros(len(data) + 1, np.int32), np.flatnonzero(mask == -1), np.flatnonzero((mask != -1) & (mask != 0))
+    edge[found.first[whole]] += 1
+    edge[found.last[whole] + length] -= 1
+    item, number = steps((found.last - found.first + 1)[some])
+    place = (found.first[some][item] + number)[(mask[some][item] >> number & 1) == 1]
+    edge[place] += 1
+    edge[place + length] -= 1
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -396,19 +450,19 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, keep_bytes: bool = T
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            sizes, removed, spans, digests, texts = [], [], [], [], []
-            for body, context, mask in zip(*(batch.column(c) for c in ("body", "context", "mask")), strict=True):
-                text = unpack(body.as_py())
-                drop = covered(text, context.values.to_numpy(), mask.values.to_numpy(), length) if context.is_valid else np.zeros(len(text), bool)
-                kept = np.frombuffer(text, np.uint8)[~drop].tobytes()
-                sizes.append(len(text))
-                removed.append(int(drop.sum()))
-                spans.append(int(drop[:1].sum() + (drop[1:] & ~drop[:-1]).sum()))
-                digests.append(hashlib.sha256(kept).hexdigest())
-                texts.append(kept)
-            cols = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.binary())], names=[*names, "kept"]) if keep_bytes else pa.RecordBatch.from_arrays(cols, names=names)
+            for start, some in slices(unpack(b.as_py()) for b in batch.column("body")):
+                data, owner = joined(some)
+                (of, lost), (_, masks) = (flat(batch.column(c).slice(start, len(some))) for c in ("context", "mask"))
+                drop = covered(data, owner, of, lost, masks, length)
+                ends = np.concatenate([[0], np.cumsum(list(map(len, some)))])
+                begins = drop.copy()
+                begins[1:] &= ~drop[:-1] | (owner[1:] != owner[:-1])
+                removed, spans = (np.diff(np.concatenate([[0], np.cumsum(x)])[ends]) for x in (drop, begins))
+                rest, kept_ends = data[~drop].tobytes(), ends - np.concatenate([[0], np.cumsum(drop)])[ends]
+                texts = [rest[a:b] for a, b in zip(kept_ends[:-1].tolist(), kept_ends[1:].tolist(), strict=True)]
+                cols = [batch.column("doc_id").slice(start, len(some)), pa.array(np.diff(ends)), pa.array(removed), pa.array(spans), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())]
+                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(texts, pa.binary())], names=[*names, "kept"]) if keep_bytes else pa.RecordBatch.from_arrays(cols, names=names)
 
     return both.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{extra}")
 

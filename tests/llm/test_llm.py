@@ -174,6 +174,30 @@ def test_substring_dedup_equals_brute_force(spark, monkeypatch, hot):
     assert {r[0]: tuple(r[1:]) for r in suffixes.dedup_substrings(frame, keep_bytes=False).collect()} == want
 
 
+def test_passage_with_many_endings_is_judged_in_parts(spark):
+    """Every document holds one passage and goes on in its own way; the deal of the passage is far larger than what a task holds."""
+    rng = random.Random(8)
+    passage = "".join(rng.choices("abcdef ", k=70))
+    texts = ["".join(rng.choices("ghij", k=rng.randrange(40))) + passage + "".join(rng.choices("kl", k=rng.randrange(3, 30))) for _ in range(400)]
+    rows, want = [], set()
+    first: dict[str, int] = {}
+    for i, t in enumerate(texts):
+        for w in range(len(t) - 49):
+            window = t[w:w + 50]
+            rows.append((7 if window in passage else 9, i, 1000 * i + w, 0, window.encode()))
+            if first.setdefault(window, i) < i:
+                want.add((i, 1000 * i + w, 1))
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "deal long, doc_id long, context long, first int, body binary")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 500)
+    try:
+        got = [tuple(r) for r in suffixes.sorted_losses(frame, 50, held_rows=100).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # a row that stays is told again with a later part
+    assert set(got) == want
+
+
 def test_deep_shallow_sort_orders_suffixes():
     rng = np.random.default_rng(4)
     rows = rng.integers(97, 99, (400, 50), dtype=np.uint8)
