@@ -167,7 +167,8 @@ class BlindTrie:
         other = node[0]
         if other == text:
             return
-        place = next(i for i, (a, b) in enumerate(zip(other, text, strict=True)) if a != b)
+        # the first byte that differs holds the highest bit that differs
+        place = len(text) - ((int.from_bytes(other) ^ int.from_bytes(text)).bit_length() + 7) // 8
         above, node = None, self.root
         while isinstance(node, tuple) and node[0] < place:
             above, node = node, node[1][text[node[0]]]
@@ -208,10 +209,10 @@ def deep_shallow(suffixes: np.ndarray, words: int = SHALLOW_WORDS) -> tuple[np.n
     split = np.zeros(len(order), bool)
     deep = np.unique(group[tied[differs]])
     for lo, hi in zip(np.searchsorted(group, deep).tolist(), np.searchsorted(group, deep, "right").tolist(), strict=True):
-        rows = order[lo:hi].tolist()
+        size, blob = padded.shape[1], padded[order[lo:hi]].tobytes()
         same: dict[bytes, list[int]] = {}
-        for row in rows:
-            same.setdefault(padded[row].tobytes(), []).append(row)
+        for i, row in enumerate(order[lo:hi].tolist()):
+            same.setdefault(blob[i * size:i * size + size], []).append(row)
         texts = iter(same)
         trie = BlindTrie(next(texts))
         for text in texts:
