@@ -8,7 +8,7 @@ from flowlens.fixtures import ctes, table, view
 from flowlens.models import thresholds as T
 from flowlens.models import transforms as M
 from flowlens.operators import correlate, evaluation as E
-from flowlens.plans import reports as P
+from flowlens.plans import evaluate as V, reports as P
 from flowlens.sources import sinks
 from checks.correlation import BASE, FIND, SQL as CSQL, evidence, pairs, z_maps
 from checks.windows import r6
@@ -71,6 +71,29 @@ al as (select *, total_connections as n, row_number() over (partition by finding
 select finding_id, category, n, place, rank, best_alert_id, confidence_score, unique_destinations, case when t > 10 then 'High' when t > 3 then 'Medium' else 'Low' end as complexity,
  concat(category, ' (', n, case when n > 1 then ' events)' else ' event)' end) as summary, {DUR} as duration from al join tl using (finding_id) where rank <= 10"""
 
+QUERIES["RPT_10b_evidence_sequence"] = lambda s, d: P.evidence_sequence(evidence(s, d)).select("finding_id", "category", "sequence_id", "alert_id", "matched_scenario", "connection.dst_port")
+SQL["RPT_10b_evidence_sequence"] = BASE + PAT + " select finding_id, category, row_number() over (partition by finding_id, category order by ts_us, alert_id) as sequence_id, alert_id, matched_scenario, dst_port from c"
+QUERIES["RPT_10c_connection_timelines"] = lambda s, d: P.connection_timelines(P.evidence_sequence(evidence(s, d))).select(
+    "finding_id", "category", "total_connections", "pattern_diversity", F.col("first_connection.dst_ip").alias("first_ip"), F.col("last_connection.dst_port").alias("last_port"))
+SQL["RPT_10c_connection_timelines"] = BASE + PAT + """ select finding_id, category, count(*) as total_connections, count(distinct coalesce(service, 'unknown')) as pattern_diversity,
+ arg_min(dst_ip, (ts_us, alert_id)) as first_ip, arg_max(dst_port, (ts_us, alert_id)) as last_port from c group by 1, 2"""
+
+
+def compact_rows(s, d):
+    return correlate.compact(z_maps(evidence(s, d)))
+
+
+LISTS = """, pr as (select finding_id, arg_min(proto, (ts_us, alert_id)) as proto from ev group by 1), hd as (select * from fc join pr using (finding_id)),
+cn as (select 'severity' as field, severity as value, count(*) as n, 1000000 as most from hd group by 2 union all select 'src_ip', ip, count(*), 3 from hd group by 2
+ union all select 'finding_type', finding_type, count(*), 3 from hd group by 2 union all select 'proto', proto, count(*), 5 from hd group by 2),
+rk as (select *, row_number() over (partition by field order by n desc, value) as rank from cn)"""
+QUERIES["RPT_1b_summary_lists"] = lambda s, d: P.summary_lists(compact_rows(s, d))
+SQL["RPT_1b_summary_lists"] = FC + LISTS + " select field, value, n, rank from rk where rank <= most"
+QUERIES["RPT_1c_summary_text"] = lambda s, d: P.summary_text(compact_rows(s, d))
+SQL["RPT_1c_summary_text"] = FC + LISTS + """, t as (select (select count(*) from hd) as total_findings, (select count(*) from hd where lower(severity) in ('high', 'critical')) as grave)
+select total_findings, grave, concat('Analyzed ', total_findings, ' security findings from recent activity.', case when grave > 0 then concat(' ', grave, ' high/critical severity alerts require immediate attention.') else '' end,
+ (select case when n > 1 then concat(' Most active source IP: ', value, ' (', n, ' alerts)') else '' end from rk where field = 'src_ip' and rank = 1),
+ (select concat(' Primary threat type: ', value, ' (', n, ' occurrences)') from rk where field = 'finding_type' and rank = 1)) as summary from t"""
 QUERIES["RPT_1_findings_summary"] = lambda s, d: P.findings_summary(findings(s, d))
 SQL["RPT_1_findings_summary"] = FC + """, hd as (select * from fc), cn as (select 'severity' as field, severity as value, count(*) as n from hd group by 2
  union all select 'source', ip, count(*) from hd group by 2 union all select 'finding_type', finding_type, count(*) from hd group by 2)
@@ -239,3 +262,16 @@ r as (select *, row_number() over (partition by k order by m desc, feature) as r
 SQL["ML_21_importance_overlap"] = IMP + " select coalesce(a.feature, b.feature) as feature, case when b.feature is null then 'only_first' when a.feature is null then 'only_second' else 'common' end as part from a full join b on a.feature = b.feature"
 QUERIES["JON_7_feature_overlap"] = lambda s, d: M.importance_overlap(*importances(s, d), top=10)
 SQL["JON_7_feature_overlap"] = SQL["ML_21_importance_overlap"].replace("r <= 20", "r <= 10")
+
+
+def judged_rows(s, d):
+    rows = judged(s, d).join(table(s, d, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("group")), "doc_id")
+    return rows.select("group", "y", F.col("score").alias("isof_score"), (F.col("quality") * -1.0).alias("ae_error"), F.col("iso").alias("isof"), "ae", "ensemble")
+
+
+QUERIES["AGG_16b_rates_by_file"] = lambda s, d: V.rates(judged_rows(s, d)).withColumn("rate", F.round("rate", 6))
+SQL["AGG_16b_rates_by_file"] = J + ", g as (select coalesce(source, '') as \"group\", j.* from j join documents using (doc_id))" + " union all ".join(
+    f" select \"group\", '{m}' as model, count(*) as lines, sum({c})::bigint as alerts, round(avg({c}), 6) as rate from g group by 1" for m, c in (("isof", "iso"), ("ae", "ae"), ("ensemble", "ensemble")))
+QUERIES["EVAL_6_confusion_of_models"] = lambda s, d: V.confusion_table(judged_rows(s, d)).withColumn("share", F.round("share", 6))
+SQL["EVAL_6_confusion_of_models"] = J + " union all ".join(
+    f" select '{m}' as model, y as truth, {c} as predicted, count(*) as n, round(count(*) / sum(count(*)) over (partition by y), 6) as share from j group by 2, 3" for m, c in (("isof", "iso"), ("ae", "ae"), ("ensemble", "ensemble")))

@@ -139,12 +139,31 @@ def evidence_summary() -> Column:
             .otherwise(F.concat(F.lit("Security event: "), F.col("type"))))
 
 
-def evidence_sequence(evidence: DataFrame) -> DataFrame:
-    """All evidence with its category and summary: one row per alert, to be read
-    in (finding, category, time) order. It is a table, not an array, because a
-    finding has no upper size."""
-    return evidence.select("finding_id", evidence_category().alias("category"), "ts_us", "alert_id", evidence_summary().alias("summary"),
-                           F.struct("dst_ip", "dst_port", "proto", "service", "conn_state").alias("connection"))
+def evidence_sequence(evidence: DataFrame, *, block_us: int = 300_000_000) -> DataFrame:
+    """All evidence with its category, summary, connection and ``sequence_id``, its place
+    from 1 in time order inside (finding, category). It is a table, not an array,
+    because a finding has no upper size. Alerts without a time come first.
+
+    Places are counted inside blocks of time and shifted by the blocks before, so no
+    task sorts a whole finding.
+    """
+    keys = ["finding_id", "category", "_block"]
+    block = F.coalesce(F.floor(F.col("ts_us") / block_us), F.lit(-1)).alias("_block")
+    rows = evidence.select("*", evidence_category().alias("category"), block)
+    earlier = Window.partitionBy("finding_id", "category").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = rows.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("ts_us", "alert_id"))
+    connection = F.struct("src_ip", "dst_ip", "dst_port", "proto", "service", "conn_state").alias("connection")
+    return rows.withColumn("_place", place).join(before, keys).select(
+        "finding_id", "category", (F.col("_before") + F.col("_place")).alias("sequence_id"), "ts_us", "alert_id", "type", "matched_scenario", "detector",
+        evidence_summary().alias("summary"), connection)
+
+
+def connection_timelines(sequence: DataFrame) -> DataFrame:
+    """First and last connection of each (finding, category) of a sequence, how many there are and how many services they use."""
+    return sequence.groupBy("finding_id", "category").agg(
+        F.min_by("connection", "sequence_id").alias("first_connection"), F.max_by("connection", "sequence_id").alias("last_connection"),
+        F.count("*").alias("total_connections"), F.countDistinct(F.coalesce("connection.service", F.lit("unknown"))).alias("pattern_diversity"))
 
 
 def pre_analysis(evidence: DataFrame, *, top: int = 10) -> DataFrame:
@@ -168,6 +187,11 @@ def pre_analysis(evidence: DataFrame, *, top: int = 10) -> DataFrame:
 # --- findings ---------------------------------------------------------------------
 
 
+#: Fields of the findings summary and how many values each shows (fixed values).
+SUMMARY_LISTS = {"severity": None, "src_ip": 3, "finding_type": 3, "proto": 5}
+SUMMARY_BUCKETS = 256
+
+
 def findings_summary(findings: DataFrame) -> DataFrame:
     """Counts of all findings by severity, source, type and behaviour in one
     pass; rank 1 is the most frequent value of its field."""
@@ -176,6 +200,45 @@ def findings_summary(findings: DataFrame) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "value")))
 
 
+def summary_lists(rows: DataFrame) -> DataFrame:
+    """The lists of the findings summary over one row a finding (:func:`compact` rows):
+    all severities, the most frequent sources and types and protocols. A missing value
+    counts as unknown.
+    """
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c) for c in SUMMARY_LISTS]
+    tall = rows.select(*fields).unpivot([], list(SUMMARY_LISTS), "field", "value")
+    counts = tall.groupBy("field", "value").agg(F.count("*").alias("n"))
+    most = F.create_map(*[F.lit(x) for name, n in SUMMARY_LISTS.items() if n for x in (name, n)])[F.col("field")]
+    order = (F.desc("n"), "value")
+    # every bucket of values hands on its own leaders, so no task ranks all sources
+    bucket = F.pmod(F.xxhash64("value"), F.lit(SUMMARY_BUCKETS))
+    led = counts.withColumn("_bucket", bucket).withColumn("_rank", F.row_number().over(Window.partitionBy("field", "_bucket").orderBy(*order)))
+    led = led.filter(most.isNull() | (F.col("_rank") <= most)).select("field", "value", "n")
+    ranked = led.withColumn("rank", F.row_number().over(Window.partitionBy("field").orderBy(*order)))
+    return ranked.filter(most.isNull() | (F.col("rank") <= most))
+
+
+def summary_text(rows: DataFrame, window: str = "recent") -> DataFrame:
+    """The findings summary as one sentence row: total, grave ones, most active source, main type."""
+    lists = summary_lists(rows).filter("rank = 1 or field = 'severity'")
+
+    def top(name):
+        return F.max_by(F.struct("value", "n"), F.when(F.col("field") == name, -F.col("rank")))
+
+    row = lists.agg(
+        F.coalesce(F.sum(F.when(F.col("field") == "severity", F.col("n"))), F.lit(0)).alias("total_findings"),
+        F.coalesce(F.sum(F.when((F.col("field") == "severity") & F.lower("value").isin("high", "critical"), F.col("n"))), F.lit(0)).alias("grave"),
+        top("src_ip").alias("source"), top("finding_type").alias("kind"))
+    total, grave = F.col("total_findings").cast("string"), F.col("grave").cast("string")
+    parts = F.array_compact(F.array(
+        F.concat(F.lit("Analyzed "), total, F.lit(f" security findings from {window} activity.")),
+        F.when(F.col("grave") > 0, F.concat(grave, F.lit(" high/critical severity alerts require immediate attention."))),
+        F.when(F.col("source.n") > 1, F.concat(F.lit("Most active source IP: "), F.col("source.value"), F.lit(" ("), F.col("source.n").cast("string"), F.lit(" alerts)"))),
+        F.when(F.col("kind").isNotNull(), F.concat(F.lit("Primary threat type: "), F.col("kind.value"), F.lit(" ("), F.col("kind.n").cast("string"), F.lit(" occurrences)")))))
+    none = F.lit("No security findings detected in the specified time window.")
+    return row.select("total_findings", "grave", F.when(F.col("total_findings") > 0, F.array_join(parts, " ")).otherwise(none).alias("summary"))
+
+
 def recommendations(alerts: DataFrame, by: str = "src_ip") -> DataFrame:
     """Advice per source from its alert counts."""
     n, b, m = F.count("*"), F.count_if(F.col("type") == "behavior_anomaly"), F.count_if(F.col("type") == "ml_anomaly")
