@@ -4,7 +4,8 @@ A message table has one row per message: ``tree``, ``node``, ``parent``, ``role`
 ``text`` and ``score``. Paths are enumerated from the leaves: each round joins the
 ancestors found so far with a jump table and doubles their number, so a tree of
 depth n takes log2(n) rounds. A message whose parent is not in the table, or is
-itself, is a root. Messages of a cycle reach no root and are in no path.
+itself, is a root. Messages on a cycle or hanging on one reach no root and are in no
+path; they are found before leaves are followed.
 
 Control strings cannot occur inside a formatted text: every ``<`` followed by
 backslashes and ``|`` gets one more backslash, which reading back takes away.
@@ -50,7 +51,7 @@ def clean_messages(messages: DataFrame) -> DataFrame:
         F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"), "parent")).alias("m")).select("tree", "node", "m.*")
 
 
-def paths(messages: DataFrame, max_rounds: int = 40) -> DataFrame:
+def paths(messages: DataFrame) -> DataFrame:
     """(tree, leaf, node, up): every message of every root-to-leaf path; up counts from the leaf."""
     nodes = messages.select("tree", "node", "parent")
     known = nodes.select(F.col("tree").alias("t"), F.col("node").alias("p"))
@@ -58,17 +59,21 @@ def paths(messages: DataFrame, max_rounds: int = 40) -> DataFrame:
     edges = edges.select("tree", "node", "parent")
     parents = edges.select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
     leaves = nodes.join(parents, F.col("tree").eqNullSafe(F.col("t")) & F.col("node").eqNullSafe(F.col("p")), "left_anti")
+    # jump tables of 1, 2, 4, ... steps, one row a message; a message that still has an
+    # ancestor as many steps away as its tree has messages hangs on a cycle
+    jump, reach, tables = cut_lineage(edges.select(F.col("tree").alias("t"), F.col("node").alias("a"), F.col("parent").alias("b"))), 1, []
+    size = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    while reach < size and not jump.isEmpty():
+        tables.append(jump)
+        right = jump.select(F.col("t").alias("t2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
+        jump = cut_lineage(jump.join(right, F.col("t").eqNullSafe(F.col("t2")) & (F.col("b") == F.col("a2"))).select("t", "a", F.col("b2").alias("b")))
+        reach *= 2
+    leaves = leaves.join(jump, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("a")), "left_anti")
     found = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
-    jump, reach = cut_lineage(edges.select(F.col("tree").alias("t"), F.col("node").alias("a"), F.col("parent").alias("b"))), 1
-    for _ in range(max_rounds):
-        if jump.isEmpty():
-            break
+    for i, jump in enumerate(tables):
         further = found.join(jump, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("a"))).select(
-            "tree", "leaf", F.col("b").alias("node"), (F.col("up") + reach).alias("up"))
+            "tree", "leaf", F.col("b").alias("node"), (F.col("up") + (1 << i)).alias("up"))
         found = cut_lineage(found.unionByName(further))
-        right = jump.select(F.col("t").alias("t2"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-        jump = cut_lineage(jump.join(right, F.col("t").eqNullSafe(F.col("t2")) & (F.col("b") == F.col("a2")) & (F.col("a") != F.col("b2"))).select("t", "a", F.col("b2").alias("b")))
-        reach *= 2
     return found
 
 

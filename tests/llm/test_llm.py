@@ -198,6 +198,36 @@ def test_passage_with_many_endings_is_judged_in_parts(spark):
     assert set(got) == want
 
 
+def test_paths_of_trees_with_cycles(spark):
+    """Cycles of one to three with leaves, chains of many lengths, a null tree, repeated nodes; against walking up in Python."""
+    rng = random.Random(12)
+    parent = {("c", 1): 2, ("c", 2): 1, ("c", 3): 1, ("d", 1): 2, ("d", 2): 3, ("d", 3): 1, ("d", 4): 3, ("d", 5): 4, ("d", 6): None, ("d", 7): 6,
+              ("e", 1): 1, ("e", 2): 1, ("f", 1): None, ("g", 1): 99, ("g", 2): 1, (None, 1): None, (None, 2): 1, (None, 3): 1}
+    for depth in (2, 3, 17):
+        parent |= {(f"chain{depth}", n): n - 1 if n else None for n in range(depth)}
+    parent |= {("wide", n): rng.randrange(n) if n else None for n in range(60)}
+    want = set()
+    for tree, leaf in parent:
+        if any(t == tree and p == leaf and n != leaf for (t, n), p in parent.items()):
+            continue
+        walk = [leaf]
+        while True:
+            up = parent[tree, walk[-1]]
+            if up is None or up == walk[-1] or (tree, up) not in parent:
+                want |= {(tree, leaf, n, i) for i, n in enumerate(walk)}
+                break
+            if up in walk:
+                break
+            walk.append(up)
+    rows = [(t, n, p, "user", f"{t}{n}", 0.0) for (t, n), p in parent.items()]
+    frame = spark.createDataFrame(rows + rows[:5], "tree string, node long, parent long, role string, text string, score double").repartition(3)
+    clean = chat.clean_messages(frame)
+    assert sorted(map(str, map(tuple, chat.paths(clean).collect()))) == sorted(map(str, want))
+    shown = {r["tree"]: r["formatted"] for r in chat.format_paths(frame).collect()}
+    assert set(shown) == {t for t, *_ in want} and "c" not in shown
+    assert shown["d"] == "<|im_start|>user\nd6<|im_end|>\n<|im_start|>user\nd7<|im_end|>\n"
+
+
 def test_deep_shallow_sort_orders_suffixes():
     rng = np.random.default_rng(4)
     rows = rng.integers(97, 99, (400, 50), dtype=np.uint8)
