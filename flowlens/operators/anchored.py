@@ -9,11 +9,14 @@ blocks of many spans:
 1. every (key, block) works out, for each instant the previous window may end at,
    which window would be its last. Instants with the same outcome are merged, and
    chains soon fall together, so a block shrinks to a few rows;
-2. per key, these few rows per block are walked in order, which gives each block
-   the end of the window that reaches into it;
-3. every block replays its own events from that end.
-
-Only distinct times of one (key, block) are ever held at once.
+2. neighbouring blocks are composed, ``fan`` at a time, into functions of longer
+   blocks, level by level, until one of them covers decades;
+3. from the longest down, every level tells the blocks below where the window that
+   reaches into them ends, again ``fan`` at a time;
+4. every block replays its own events from that end.
+
+Only distinct times of one (key, block), or the few rows of ``fan`` blocks, are
+ever held at once, however long a key's history is.
 """
 
 from __future__ import annotations
@@ -26,6 +29,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_SPANS = 32
+#: Blocks that one task composes. A composed block has about as many rows as its first one.
+FAN = 512
+#: Levels are added until a block covers this time; per key, what is left is one block for each.
+LONGEST_US = 30 * 366 * 86_400_000_000
 LONG_AGO = -(1 << 62)
 
 
@@ -44,7 +51,8 @@ def window_starts(times: np.ndarray, span: int, free_from: int) -> np.ndarray:
 
 def block_outcomes(times: np.ndarray, span: int, block_start: int) -> list[tuple[int, int, int]]:
     """(above, up_to, last): a window ending in (above, up_to] leads to the last
-    window start ``last`` of this block."""
+    window start ``last`` of this block. One ending later than all of them passes
+    over the block."""
     following = np.searchsorted(times, times + span, side="left")
     last = np.arange(len(times))
     while True:
@@ -66,7 +74,36 @@ def block_outcomes(times: np.ndarray, span: int, block_start: int) -> list[tuple
     return out
 
 
-def anchor_windows(df: DataFrame, keys: Sequence[str], *, span_us: int, ts: str = "ts_us", out: str = "start_us", block_spans: int = BLOCK_SPANS) -> DataFrame:
+def leaves_at(up_to: np.ndarray, last: np.ndarray, span: int, ends: np.ndarray) -> np.ndarray:
+    """Where the windows that reach into a block up to ``ends`` have moved when it is over."""
+    hit = np.searchsorted(up_to, ends, side="left")
+    return np.where(hit < len(up_to), np.append(last, 0)[hit] + span, ends)
+
+
+def compose(pieces: Sequence[tuple[np.ndarray, np.ndarray]], span: int, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """(up_to, last) of consecutive blocks as one block that begins at ``start``."""
+    up_to, last = (np.asarray(c, dtype=np.int64) for c in pieces[0])
+    for later_up_to, later_last in pieces[1:]:
+        through = leaves_at(later_up_to, later_last, span, last + span) - span
+        # an end above all rows so far passes over; none lies more than one span after the start
+        reach = up_to[-1]
+        begins = np.concatenate([[LONG_AGO], later_up_to[:-1]])
+        over = (later_up_to > reach) & (np.maximum(begins, reach) < start + span)
+        up_to, last = np.concatenate([up_to, later_up_to[over]]), np.concatenate([through, later_last[over]])
+        final = np.append(last[1:] != last[:-1], True)
+        up_to, last = up_to[final], last[final]
+    return up_to, last
+
+
+def levels_of(block_us: int, fan: int) -> int:
+    """Levels of composed blocks; depends on the parameters alone."""
+    levels, covered = 0, block_us
+    while covered < LONGEST_US:
+        levels, covered = levels + 1, covered * fan
+    return levels
+
+
+def anchor_windows(df: DataFrame, keys: Sequence[str], *, span_us: int, ts: str = "ts_us", out: str = "start_us", block_spans: int = BLOCK_SPANS, fan: int = FAN) -> DataFrame:
     """``df`` plus the start of the anchored window of each row. A row opens a new
     window when it is ``span_us`` or more after the start of the current one. Rows
     without a time or a full key are in no window: their start is null."""
@@ -77,25 +114,46 @@ def anchor_windows(df: DataFrame, keys: Sequence[str], *, span_us: int, ts: str
         placed = placed & F.col(c).isNotNull()
     outside, df = df.filter(~placed).withColumn(out, F.lit(None).cast("bigint")), df.filter(placed)
     key_schema = ", ".join(f"`{k}` {types[k]}" for k in keys)
-    points = df.select(*keys, F.col(ts).alias("_t"), F.expr(f"`{ts}` div {block_us}").alias("_block")).distinct()
+
+    def block_of(column: str, size: int):
+        return F.expr(f"(`{column}` - pmod(`{column}`, {size}L)) div {size}L")
+
+    points = df.select(*keys, F.col(ts).alias("_t")).withColumn("_block", block_of("_t", block_us)).distinct()
 
     def outcomes(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         times = np.sort(pdf["_t"].to_numpy())
         rows = block_outcomes(times, span_us, int(group[-1]) * block_us)
-        table = pd.DataFrame(rows, columns=["_above", "_up_to", "_last"])
+        table = pd.DataFrame([r[1:] for r in rows], columns=["_up_to", "_last"])
         for name, value in zip([*keys, "_block"], group):
             table[name] = value
-        return table[[*keys, "_block", "_above", "_up_to", "_last"]]
+        return table[[*keys, "_block", "_up_to", "_last"]]
 
-    def walk(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        free_from, rows = LONG_AGO, []
+    def pieces_of(pdf: pd.DataFrame):
         for block, part in pdf.sort_values(["_block", "_up_to"]).groupby("_block", sort=True):
-            rows.append((*group, block, free_from))
-            hit = int(np.searchsorted(part["_up_to"].to_numpy(), free_from, side="left"))
-            if hit < len(part):
-                free_from = int(part["_last"].iloc[hit]) + span_us
+            yield int(block), (part["_up_to"].to_numpy(), part["_last"].to_numpy())
+
+    def composed(size_us: int):
+        def combine(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            up_to, last = compose([p for _, p in pieces_of(pdf)], span_us, int(group[-1]) * size_us)
+            table = pd.DataFrame({"_up_to": up_to, "_last": last})
+            for name, value in zip([*keys, "_block"], group):
+                table[name] = value
+            return table[[*keys, "_block", "_up_to", "_last"]]
+        return combine
+
+    def walk(group: tuple, pdf: pd.DataFrame, free_from: int = LONG_AGO) -> pd.DataFrame:
+        rows = []
+        for block, (up_to, last) in pieces_of(pdf):
+            rows.append((*group[:len(keys)], block, free_from))
+            free_from = int(leaves_at(up_to, last, span_us, np.array([free_from]))[0])
         return pd.DataFrame(rows, columns=[*keys, "_block", "_free_from"])
 
+    def walk_all(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return walk(group, pdf)
+
+    def walk_below(group: tuple, pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        return walk(group, pdf, int(entry["_free_from"].iloc[0]))
+
     def replay(group: tuple, pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
         times = np.sort(pdf["_t"].to_numpy())
         table = pd.DataFrame({"_t": times, out: window_starts(times, span_us, int(entry["_free_from"].iloc[0]))})
@@ -103,8 +161,16 @@ def anchor_windows(df: DataFrame, keys: Sequence[str], *, span_us: int, ts: str
             table[name] = value
         return table[[*keys, "_t", out]]
 
-    segments = points.groupBy(*keys, "_block").applyInPandas(outcomes, f"{key_schema}, _block bigint, _above bigint, _up_to bigint, _last bigint")
-    entries = segments.groupBy(*keys).applyInPandas(walk, f"{key_schema}, _block bigint, _free_from bigint")
+    rows_of, entries_of = f"{key_schema}, _block bigint, _up_to bigint, _last bigint", f"{key_schema}, _block bigint, _free_from bigint"
+    below, segments, size_us = [], points.groupBy(*keys, "_block").applyInPandas(outcomes, rows_of), block_us
+    for _ in range(levels_of(block_us, fan)):
+        below.append(segments.withColumn("_parent", block_of("_block", fan)))
+        size_us *= fan
+        segments = below[-1].groupBy(*keys, "_parent").applyInPandas(composed(size_us), rows_of)
+    entries = segments.groupBy(*keys).applyInPandas(walk_all, entries_of)
+    for blocks in reversed(below):
+        above = entries.withColumnRenamed("_block", "_parent").groupBy(*keys, "_parent")
+        entries = blocks.groupBy(*keys, "_parent").cogroup(above).applyInPandas(walk_below, entries_of)
     starts = points.groupBy(*keys, "_block").cogroup(entries.groupBy(*keys, "_block")).applyInPandas(replay, f"{key_schema}, _t bigint, {out} bigint")
     timed = df.join(starts.withColumnRenamed("_t", ts), [*keys, ts])
     return timed.unionByName(outside)

@@ -109,6 +109,41 @@ def test_anchored_windows_over_blocks(spark):
     assert got == sorted(want)
 
 
+def test_composed_blocks_equal_their_parts():
+    import numpy as np
+    rng = random.Random(11)
+    for _ in range(300):
+        span, size = 20, 20 * rng.choice([1, 2, 5])
+        kept = [(b, sorted(rng.sample(range(b * size, (b + 1) * size), rng.choice([1, 3, 9])))) for b in range(6) if rng.random() < 0.7]
+        if not kept:
+            continue
+        parts = []
+        for b, times in kept:
+            _, up_to, last = zip(*block_outcomes(np.array(times), span, b * size))
+            parts.append((np.array(up_to), np.array(last)))
+        up_to, last = anchored.compose(parts, span, 0)
+        assert len(up_to) <= len(parts[0][0]) + 1
+        ends = np.arange(-3, span + 1)
+        want = ends
+        for one_up_to, one_last in parts:
+            want = anchored.leaves_at(one_up_to, one_last, span, want)
+        assert anchored.leaves_at(up_to, last, span, ends).tolist() == want.tolist()
+
+
+@pytest.mark.parametrize("fan", [2, 512])
+def test_evenly_spaced_times_over_many_levels(spark, fan, monkeypatch):
+    """Chains that never fall together: spacing and span share no divisor. Times lie on both sides of 0."""
+    monkeypatch.setattr(anchored, "LONGEST_US", 40_000)
+    assert anchored.levels_of(300, 2) == 8
+    df = spark.range(-900, 900).selectExpr("'k' as k", "id * 37 as ts_us")
+    got = sorted((r["ts_us"], r["start_us"]) for r in anchored.anchor_windows(df, ["k"], span_us=100, block_spans=3, fan=fan).collect())
+    want, start = [], None
+    for t in range(-900 * 37, 900 * 37, 37):
+        start = t if start is None or t >= start + 100 else start
+        want.append((t, start))
+    assert got == want
+
+
 def test_cooldown_lets_keyless_alerts_pass(spark):
     rows = [("a", 0, "S", "1"), ("b", 99, "S", "1"), ("c", 100, "S", "1"), ("d", 150, "S", "1"), ("e", 1, "", "1"), ("f", 2, "S", None), ("g", 100, "S", "1")]
     df = spark.createDataFrame(rows, "alert_id string, ts_us bigint, matched_scenario string, src_ip string")
