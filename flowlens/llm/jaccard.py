@@ -389,6 +389,11 @@ def thinned(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest doc_id reachable by links."""
+    return grouped(docs, n, percent).drop("key")
+
+
+def grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc_id, key, n_shingles, component_id) of every row; key is the hash of the text."""
     docs = docs.select("doc_id", "text")
     rows = settle(sets(docs, n, percent))
     # any row of a class stands for it; its text is found again by id and hash of text
@@ -423,15 +428,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     of = settle(of)
     smallest = of.groupBy(F.col("comp").alias("m")).agg(F.min("first_id").alias("least_id"))
     lookup = of.join(smallest, F.col("comp") == F.col("m")).select(F.col("digest").alias("g"), "least_id")
-    out = rows.select("doc_id", "n_shingles", "digest").join(lookup, F.col("digest") == F.col("g"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = rows.select("doc_id", "key", "n_shingles", "digest").join(lookup, F.col("digest") == F.col("g"))
+    return out.select("doc_id", "key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("least_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents whose component has a smaller doc_id. Rows that repeat the kept doc_id, and rows without one, stay."""
-    (gone,) = fresh(docs, "gone")
-    drop = near_duplicates(docs, n, percent).groupBy("doc_id").agg(F.min(F.col("component_id") == F.col("doc_id")).alias("first")).filter("not first")
-    return docs.join(drop.select(F.col("doc_id").alias(gone)).hint("shuffle_hash"), F.col("doc_id") == F.col(gone), "left_anti")
+    """``docs`` without the rows whose component has a smaller doc_id. Rows are told apart by id and
+    text, so another text of a dropped row's id stays if its own component begins with that id. Rows
+    that repeat the kept doc_id, and rows without one, stay."""
+    gone, text = fresh(docs, "gone", "gone_text")
+    drop = grouped(docs, n, percent).filter("component_id <> doc_id").select(F.col("doc_id").alias(gone), F.col("key").alias(text)).distinct()
+    same = (F.col("doc_id") == F.col(gone)) & (F.xxhash64(docs["text"]) == F.col(text))
+    return docs.join(drop.hint("shuffle_hash"), same, "left_anti")
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

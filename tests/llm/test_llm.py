@@ -147,6 +147,16 @@ def test_jaccard_join_equals_brute_force(spark, n, percent):
     assert got == {i: (len(sets[i]), want[i]) for i in sets}
 
 
+def test_one_of_each_tells_texts_of_one_id_apart(spark):
+    rng = random.Random(3)
+    copied, alone, second = (" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(60)) for _ in range(3))
+    rows = [(2, copied), (4, copied), (4, alone), (4, second), (9, second), (9, None), (None, copied), (2, copied)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"gone": F.lit(1), "gone_text": F.lit(2), "key": F.lit(3)})
+    kept = [(r["doc_id"], r["text"]) for r in jaccard.one_of_each(docs).collect()]
+    want = [(2, copied), (4, alone), (4, second), (9, None), (None, copied), (2, copied)]
+    assert sorted(kept, key=repr) == sorted(want, key=repr)
+
+
 def test_components_of_long_chains(spark):
     rng = random.Random(6)
     chain, ordered = rng.sample(range(5000), 1000), list(range(6000, 6300))
